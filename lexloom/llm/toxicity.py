@@ -5,7 +5,7 @@ signs and digits inside words to Latin letters, so that `1d10t` reads `idiot`.
 Lexicon entries are words (bounded on both sides) or stems (bounded on the left).
 Places covered by an exception phrase don't count. The score is logistic in two
 figures: the weight of all hits over the square root of the number of words, and
-over the number of words itself.
+the logarithm of that weight.
 
 Weights are log odds from a bounded sample of labelled rows (`sample`, dealt by a
 hash of the id); counting is distributed, and only entries that reach a support and
@@ -29,7 +29,7 @@ from lexloom.llm.common import arrow_map, cut, rows, table
 
 SAMPLE = 16_000
 ENTRIES = 20_000
-PREFIXES = (4, 5, 6, 7)
+PREFIXES = (3, 4, 5, 6, 7)
 EXCEPTIONS = ("trash can", "trash cans", "trash bag", "trash bags", "trash bin", "idiot proof", "clown fish", "stupid simple")
 #: Words that count before anything is learned; learned weights take their place.
 SEED_WORDS = ("idiot", "moron", "stupid", "scum", "loser", "trash", "pathetic", "worthless", "disgusting", "clown")
@@ -86,7 +86,7 @@ class Lexicon:
 
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
-    factors: tuple[float, float, float] = (-3.0, 2.0, 8.0)
+    factors: tuple[float, float, float] = (-3.0, 2.0, 2.0)
     _matcher: object = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
@@ -122,7 +122,7 @@ class Lexicon:
         folded, n = fold(text)
         weight, _ = self.hits(folded)
         weight = max(weight, 0.0)
-        return weight / math.sqrt(n + 1), weight / (n + 1)
+        return weight / math.sqrt(n + 1), math.log1p(weight)
 
     def score(self, text: str | None) -> float:
         x, y = self.figures(text)
@@ -130,11 +130,14 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def _features(text: str | None) -> set[str]:
-    words = set(fold(text)[0].split())
-    out = {f" {w} " for w in words}
+def _features(text: str | None) -> Counter:
+    """How often each candidate entry occurs: every word, every stem of `PREFIXES` letters."""
+    words = Counter(fold(text)[0].split())
+    out = Counter({f" {w} ": k for w, k in words.items()})
     for n in PREFIXES:
-        out.update(f" {w[:n]}" for w in words if len(w) >= n)
+        for w, k in words.items():
+            if len(w) >= n:
+                out[f" {w[:n]}"] += k
     return out
 
 
@@ -156,19 +159,24 @@ def learn(
     rows_ = cut(rows_.select("text", "label").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tox, clean = Counter(), Counter()
+        sums: tuple[Counter, ...] = Counter(), Counter(), Counter()  # toxic, toxic with two or more, clean documents
 
         def flush() -> pa.RecordBatch:
-            names = list(tox.keys() | clean.keys())
-            got = pa.RecordBatch.from_arrays([pa.array(names), pa.array([tox[f] for f in names], pa.int64()), pa.array([clean[f] for f in names], pa.int64())], ["f", "t", "c"])
-            tox.clear()
-            clean.clear()
+            names = list(set().union(*sums))
+            got = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([x[f] for f in names], pa.int64()) for x in sums)], ["f", "t", "t2", "c"])
+            for x in sums:
+                x.clear()
             return got
 
         for batch in batches:
             for text, label in zip(rows(batch, "text"), rows(batch, "label")):
-                (tox if label else clean).update(_features(text))
-            if len(tox) + len(clean) > 500_000:
+                found = _features(text)
+                if label:
+                    sums[0].update(found.keys())
+                    sums[1].update(f for f, k in found.items() if k > 1)
+                else:
+                    sums[2].update(found.keys())
+            if sum(map(len, sums)) > 500_000:
                 yield flush()
         yield flush()
 
@@ -177,9 +185,11 @@ def learn(
     seeds = {f" {w} ": SEED_WEIGHT for w in SEED_WORDS}
     if not n_tox:
         return Lexicon(seeds)
-    counted = rows_.mapInArrow(count, "f string, t bigint, c bigint").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = rows_.mapInArrow(count, "f string, t bigint, t2 bigint, c bigint").groupBy("f").agg(*(F.sum(x).alias(x) for x in ("t", "t2", "c")))
     odds = F.log((F.col("t") + 0.1) / (n_tox + 0.2)) - F.log((F.col("c") + 0.1) / (n_clean + 0.2))
-    pure = counted.where((F.col("t") >= min(support, max(2, n_tox // 8))) & (F.col("c") * 20 <= F.col("t"))).withColumn("w", odds)
+    # chance alone gives rare entries to few toxic documents, but hardly ever twice to each of them
+    enough = (F.col("t") >= support) | (F.col("t2") >= (support + 1) // 2)
+    pure = counted.where(enough & (F.col("c") * 20 <= F.col("t"))).withColumn("w", odds)
     best = pure.orderBy(F.desc("t"), "f").limit(entries).select("f", "w").collect()
     weights = {r[0]: float(r[1]) for r in best}
     # A word or longer stem below a stem says nothing more.

@@ -49,12 +49,15 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         if len(key) <= LONG_CHUNK:
             self[key] = value
-        return value
 
 
 class Tables:

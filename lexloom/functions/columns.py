@@ -68,10 +68,11 @@ def replace_pattern(text: Column, pattern: str, content: str) -> Column:
 
 
 def byte_level(text: Column) -> Column:
-    table = F.array(*map(F.lit, byte_alphabet()))
-    digits = F.hex(F.encode(text, "UTF-8"))
-    codes = F.transform(F.sequence(F.lit(0), (F.length(digits) / 2 - 1).cast("int")), lambda i: F.conv(F.substring(digits, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
-    return F.when(F.length(text) > 0, F.array_join(F.transform(codes, lambda c: F.get(table, c)), "")).otherwise(text)
+    """Read as Latin-1 the bytes of a text are one character each; those that don't print are then exchanged."""
+    shown = byte_alphabet()
+    moved = [b for b in range(256) if shown[b] != chr(b)]
+    single = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    return F.translate(single, "".join(map(chr, moved)), "".join(shown[b] for b in moved))
 
 
 # Splitters

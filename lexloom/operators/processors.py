@@ -192,6 +192,20 @@ class Chain(Processor):
         return parts
 
 
+def around(processor: Processor | None) -> tuple[list[int], list[int]] | None:
+    """The special ids before and after a single sequence, or None if that can't be told in advance."""
+    if processor is None or type(processor) in (Processor, ByteLevelTrim):
+        return [], []
+    if isinstance(processor, Bert):
+        return [processor.cls[1]], [processor.sep[1]]
+    if isinstance(processor, Template):
+        at = [k for k, p in enumerate(processor.single) if "Sequence" in p]
+        if len(at) == 1:
+            ids = [processor.tokens[p["SpecialToken"]["id"]]["ids"] if "SpecialToken" in p else [] for p in processor.single]
+            return [i for x in ids[: at[0]] for i in x], [i for x in ids[at[0] :] for i in x]
+    return None
+
+
 def build(spec: dict | None) -> Processor | None:
     if spec is None:
         return None

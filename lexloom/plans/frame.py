@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,10 +103,17 @@ def ids_column(df: DataFrame, tokenizer: Tokenizer, text: str = "text", add_spec
     shared = df.sparkSession.sparkContext.broadcast(tokenizer)
     keep = [c for c in df.columns if c != text] if keep is None else keep
 
-    def run(got: dict[str, list]) -> list[dict]:
-        return [{_KEY: k, "ids": shared.value.encode(t or "", None, add_special_tokens, "char").ids} for k, t in enumerate(got["text"])]
+    packed = df.select(F.struct(*(keep or [F.lit(0)])).alias("row"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [shared.value.ids(t, add_special_tokens) if t else shared.value.ids("", add_special_tokens) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            flat = np.fromiter((i for x in lists for i in x), np.int64, int(ends[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["row", "ids"])
 
-    return _batches(df, {"text": text}, run, "ids array<bigint>", keep)
+    out = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, ids array<bigint>")
+    return out.select("row.*", "ids") if keep else out.select("ids")
 
 
 def decode(df: DataFrame, tokenizer: Tokenizer, ids: str = "ids", keep: list[str] | None = None, skip_special_tokens: bool = True, strict: bool = False, out: str = "text") -> DataFrame:

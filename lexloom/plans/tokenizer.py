@@ -10,11 +10,14 @@ import json
 import os
 import stat
 import tempfile
+import unicodedata
 from collections.abc import Iterable
 from dataclasses import asdict, replace
 
 from lexloom.errors import ConfigError, LexloomError, RecordError, TruncationError, UnknownIdError
 from lexloom.functions.align import Aligned, byte_starts
+from lexloom.functions.chars import byte_alphabet
+from lexloom.functions.patterns import compiled
 from lexloom.operators import decoders, models, normalizers, pretokenizers, processors
 from lexloom.operators.added import AddedToken, AddedVocabulary
 from lexloom.operators.encoding import Encoding, Padding, Truncation, pad_all, truncate
@@ -40,7 +43,7 @@ class Tokenizer:
 
     def __getstate__(self) -> dict:
         gone = dict.fromkeys(("normalizer", "pre_tokenizer", "processor", "decoder"))
-        return self.__dict__ | gone
+        return {k: v for k, v in self.__dict__.items() if k not in ("_plan", "_known", "_bytes")} | gone
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -111,6 +114,8 @@ class Tokenizer:
 
     def _copy(self) -> Tokenizer:
         out = copy.copy(self)
+        for name in ("_plan", "_known", "_bytes"):
+            out.__dict__.pop(name, None)
         out.specs, out.added = dict(self.specs), copy.deepcopy(self.added)
         return out
 
@@ -250,6 +255,60 @@ class Tokenizer:
         second = None if pair is None else self._input(pair, 1, offsets == "byte")
         return self.post_process(first, second, add_special_tokens)
 
+    def ids(self, text: str, add_special_tokens: bool = True) -> list[int]:
+        """The ids of `encode`, without keeping track of where they come from wherever the set-up allows that."""
+        fast = self._fast()
+        if fast is None or any(m is not None and m[0].search(text) for m in (self.added._raw, self.added._norm)):
+            return self.encode(text, None, add_special_tokens, "char").ids
+        words, (head, tail) = fast
+        out = list(head) if add_special_tokens else []
+        known, make = self._known, self._word_ids
+        for w in words(text):
+            got = known.get(w)
+            out += make(w) if got is None else got
+        return out + list(tail) if add_special_tokens else out
+
+    def _word_ids(self, word: str) -> tuple[int, ...]:
+        got = tuple(t[0] for t in self.model.tokenize("".join(self._bytes[b] for b in word.encode()) if self._bytes else word))
+        if not self.model.random and len(word) < 256:
+            if len(self._known) >= models.CACHE * 3:
+                self._known.clear()
+            self._known[word] = got
+        return got
+
+    def _fast(self):
+        """Words of a text as plain strings and the special ids around them, or None where offsets steer the result."""
+        if not hasattr(self, "_plan"):
+            self._known, self._bytes = {}, None
+            self._plan = self._fast_plan()
+        return self._plan
+
+    def _fast_plan(self):
+        split, norm = self.specs["pre_tokenizer"], self.specs["normalizer"]
+        around = processors.around(self.processor)
+        if around is None or self.truncation or self.padding:
+            return None
+        kind = split and split["type"]
+        find = None
+        if kind == "Whitespace":
+            find = compiled(r"\w+|[^\w\s]+").findall
+        elif kind == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True):
+            find, self._bytes = compiled(pretokenizers.WORDS).findall, byte_alphabet()
+        elif kind == "Metaspace" and split.get("replacement", "▁") == "▁" and split.get("prepend_scheme", "always") == "always" and split.get("split", True):
+            cut = compiled("▁[^▁]*|[^▁]+").findall
+            find = lambda t: cut(r if (r := t.replace(" ", "▁")).startswith("▁") else "▁" + r) if t else []
+        elif kind == "BertPreTokenizer":
+            find = compiled(r"[\p{P}$+<=>^`|~]|[^\s\p{P}$+<=>^`|~]+").findall
+        if find is None:
+            return None
+        if norm is None:
+            return find, around
+        if norm.get("type") in normalizers.FORMS:
+            return lambda t: find(unicodedata.normalize(norm["type"], t)), around
+        if norm.get("type") == "Lowercase":
+            return lambda t: find("".join(c.lower() for c in t) if "Σ" in t else t.lower()), around
+        return None
+
     def encode_batch(self, texts: Iterable, add_special_tokens: bool = True, offsets: str = "byte") -> list[Encoding]:
         """Encodings of texts or (text, pair) tuples; padded to one length, if padding is on."""
         bare = self.with_padding(None) if self.padding else self

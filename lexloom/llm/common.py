@@ -89,7 +89,9 @@ def arrow_map(
 
 
 def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
-    """(node, root) for every node of the undirected `edges` (a, b: bigint); root is the smallest node reachable.
+    """(node, root) for the nodes of the undirected `edges` (a, b: bigint) that can reach a smaller one; root is the smallest.
+
+    Nodes that are missing from the result are their own roots.
 
     Alternates large-star and small-star steps until the edges stay the same.
     Only joins and partially aggregated minima are used, so a hub's edges can be

@@ -202,7 +202,7 @@ def learn(
         x = [shared.value.figures(t) for t in rows(batch, "text")]
         return {"label": batch.column(batch.schema.get_field_index("label")), "x": [a for a, _ in x], "y": [b for _, b in x]}
 
-    got = arrow_map(rows_, measure, "label int, x double, y double").orderBy("label", "x", "y").collect()  # `sample` rows at most
+    got = sorted(arrow_map(rows_, measure, "label int, x double, y double").collect())  # `sample` rows at most, in one order
     lexicon.factors = _fit(np.array([[1.0, r[1], r[2]] for r in got]), np.array([float(r[0] != 0) for r in got]))
     return lexicon
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexloom.errors import ConfigError, PreTokenizerError
 from lexloom.functions.chars import CJK_CLASS, PUNCTUATION_CLASS, byte_alphabet
 from lexloom.operators.decoders import CLEANUP
+from lexloom.operators.pretokenizers import WORDS
 
 
 def _java_literal(text: str) -> str:
@@ -124,7 +125,7 @@ def fixed_length(text: Column, n: int = 5) -> Column:
 
 
 def gpt_words(text: Column) -> Column:
-    return _matches(text, "(?U)'(?:[sdmt]|ll|ve|re)| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+")
+    return _matches(text, f"(?U){WORDS}")
 
 
 # Decoders

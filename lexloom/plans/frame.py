@@ -19,7 +19,7 @@ from pyspark.sql.types import _parse_datatype_string
 from lexloom.errors import ConfigError, LexloomError, RecordError
 from lexloom.functions import columns
 from lexloom.operators import trainers
-from lexloom.operators.encoding import Encoding
+from lexloom.operators.encoding import COLUMNS, Encoding
 from lexloom.plans.tokenizer import Tokenizer, row_error
 
 ENCODING = (
@@ -54,10 +54,8 @@ def _batches(df: DataFrame, names: dict[str, str], fn: Callable[[dict[str, list]
 
 
 def _row(e: Encoding) -> dict:
-    return {
-        "ids": e.ids, "tokens": e.tokens, "offsets": [{"start": a, "end": b} for a, b in e.offsets], "type_ids": e.type_ids,
-        "word_ids": e.word_ids, "special_tokens_mask": e.special_tokens_mask, "attention_mask": e.attention_mask, "sequence_ids": e.sequence_ids(),
-    }
+    plain = {c: getattr(e, c) for c in COLUMNS if c != "offsets"}
+    return plain | {"offsets": [{"start": a, "end": b} for a, b in e.offsets], "sequence_ids": e.sequence_ids()}
 
 
 def _flat(e: Encoding, path: list[int]) -> Iterator[tuple[list[int], Encoding]]:

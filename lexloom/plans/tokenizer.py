@@ -22,8 +22,6 @@ from lexloom.operators import decoders, models, normalizers, pretokenizers, proc
 from lexloom.operators.added import AddedToken, AddedVocabulary
 from lexloom.operators.encoding import Encoding, Padding, Truncation, pad_all, truncate
 
-KEYS = ("version", "truncation", "padding", "added_tokens", "normalizer", "pre_tokenizer", "post_processor", "decoder", "model")
-
 
 class Tokenizer:
     def __init__(self, model: models.Model, normalizer: dict | None = None, pre_tokenizer: dict | None = None, post_processor: dict | None = None, decoder: dict | None = None) -> None:
@@ -291,7 +289,7 @@ class Tokenizer:
         kind = split and split["type"]
         find = None
         if kind == "Whitespace":
-            find = compiled(r"\w+|[^\w\s]+").findall
+            find = compiled(pretokenizers.WORD_OR_SIGNS).findall
         elif kind == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True):
             find, self._bytes = compiled(pretokenizers.WORDS).findall, byte_alphabet()
         elif kind == "Metaspace" and split.get("replacement", "▁") == "▁" and split.get("prepend_scheme", "always") == "always" and split.get("split", True):

@@ -14,7 +14,9 @@ documents' roots. Readers check each chunk against its hash and recompute roots.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.bpe import Memo, default_path
+from lexloom.llm.bpe import byte_chars, default_path
 from lexloom.llm.common import arrow_map, cut, remove, rows, shared_dir, table
 
 END_ID = 1
@@ -42,9 +44,11 @@ def cuts(ids: np.ndarray) -> list[int]:
         return [n] if n else []
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * _FACTOR
     mixed ^= mixed >> np.uint64(29)
-    h = np.zeros(n, np.uint64)
-    for k in range(min(SPAN, n)):
-        h[k:] += mixed[: n - k] * _POWERS[k]
+    h, reach = mixed, 1
+    while reach < SPAN:  # windows of 2, 4, 8 ... ids from two of half the length
+        wider = h.copy()
+        wider[reach:] += h[:-reach] * _POWERS[reach]
+        h, reach = wider, 2 * reach
     marks = (np.flatnonzero((h >> np.uint64(64 - BITS)) == 0) + 1).tolist()
     out, last = [], 0
     for m in [*marks, n]:
@@ -69,8 +73,67 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+#: Signs that make one pre-token of their own behind a letter or digit. The apostrophe starts contractions, and `<`, `|` and
+#: `>` stand in added tokens.
+_TAIL = b".,;:!?#$%&*)]}\""
+_MEMO = 350_000
+_BYTE_CHARS = byte_chars()
+_KNOWN_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+class _Words(dict):
+    """Ids of words by the library. Bounded: beyond the limit the older half goes.
+
+    A word of letters that is lower-case and composed is what the normalizer and the
+    splitter would make of it, so it goes to the library's model at once."""
+
+    def __init__(self, library) -> None:
+        self.encode, self.tokenize, self.old = library.encode, library.model.tokenize, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            text = word.decode()
+            if text.isascii():
+                plain = text if text.isalpha() and text.islower() else None
+            else:
+                kept = text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+                plain = "".join(map(_BYTE_CHARS.__getitem__, word)) if kept else None
+            found = self.encode(text, add_special_tokens=False).ids if plain is None else [t.id for t in self.tokenize(plain)]
+            ids = np.array(found, "<u4").tobytes()
+        if len(self) >= _MEMO:
+            self.old = dict(self)
+            self.clear()
+        if len(word) <= 256:
+            self[word] = ids
+        return ids
+
+
+class _Chunks(dict):
+    """Ids of chunks between white space: signs behind a word are looked up apart from it. Emptied when it is full."""
+
+    def __init__(self, words: _Words) -> None:
+        self.words = words
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        bare = chunk.rstrip(_TAIL)
+        if bare and len(bare) < len(chunk) and b"<" not in chunk and (97 <= bare[-1] <= 122 or 48 <= bare[-1] <= 57):
+            ids = self.words[bare] + self.words[chunk[len(bare) :]]
+        else:
+            ids = self.words[chunk]
+        if len(self) >= _MEMO:
+            self.clear()
+        if len(chunk) <= 256:
+            self[chunk] = ids
+        return ids
+
+
 class _Encoder:
-    """The tokenizers library, asked once for each distinct chunk of text between white space."""
+    """The tokenizers library, asked once for each distinct word while the memo holds it.
+
+    Where a file's normalizer and pattern are those for which a text's ids are the
+    ids of its parts, one after the other, texts are taken apart; with any other
+    file the library gets whole texts."""
 
     def __init__(self, spec: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -79,19 +142,22 @@ class _Encoder:
         self.library = Tokenizer.from_str(spec)
         self.library.no_padding()
         self.library.no_truncation()
-        self.memo = Memo(self._one)
-
-    def _one(self, chunk: bytes) -> bytes:
-        return np.array(self.library.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self.chunks = _Chunks(_Words(self.library))
+        parts = json.loads(spec)
+        normalizers = [n.get("type") for n in (parts.get("normalizer") or {}).get("normalizers", [])]
+        splits = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        apart = splits[0].get("pattern") == {"Regex": _KNOWN_PATTERN} and splits[0].get("invert") and splits[0].get("behavior") == "Removed"
+        added = all(t["content"].startswith("<") and not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in parts.get("added_tokens", []))
+        self.apart = bool(apart and added and normalizers == ["NFC", "Replace", "Lowercase"] and parts.get("post_processor") is None)
 
     def encode(self, data: bytes | None, end: bytes) -> np.ndarray:
-        words = data.split() if data else ()
-        memo = self.memo
-        missing = [w for w in set(words) if w not in memo and w not in memo.old and len(w) <= 256]
-        if len(missing) > 8:
-            for w, got in zip(missing, self.library.encode_batch([w.decode() for w in missing], add_special_tokens=False)):
-                memo.put(w, np.array(got.ids, "<u4").tobytes())
-        return np.frombuffer(b"".join(map(memo.__getitem__, words)) + end, "<u4")
+        if not data:
+            return np.frombuffer(end, "<u4")
+        if not self.apart:
+            return np.append(np.array(self.library.encode(data.decode(), add_special_tokens=False).ids, "<u4"), np.frombuffer(end, "<u4"))
+        if b"<" not in data and b"\xcc" not in data and b"\xcd" not in data:
+            data = data.lower()  # ASCII letters; before a combining mark (U+0300 on) their case steers composition
+        return np.frombuffer(b"".join(map(self.chunks.__getitem__, data.split())) + end, "<u4")
 
 
 _encoders: dict[int, _Encoder] = {}

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import arrow_map, rows, table
 
 END = "\x00"  # stands for the end-of-word suffix inside the kernel
-MEMO = 400_000
+MEMO = 200_000
 LONG_CHUNK = 256
 
 

@@ -1,11 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. With threshold t a block matches a template T if it holds at
-least need = ceil(t |T|) of T's distinct tokens. Tokens of the templates are put in
-one global order, rarest in the corpus first. A match then has one of the first
-|T| - need + 1 tokens of T in this order (prefix filter), at least `need` distinct
-words (length filter), and from its first common token on enough tokens are left on
-both sides (positional filter). What remains is verified by the exact overlap.
+A block is a line, or ceil(|T| / t) words that follow one another over line ends, for a
+template T of |T| words and threshold t: so a notice wrapped at any width is found. A
+block matches T if it holds at least need = ceil(t n) of T's n distinct tokens. Tokens of
+the templates are put in one global order, rarest in the corpus first. A text can only
+hold a match if it has one of the first n - need + 1 tokens of T in this order (prefix
+filter) and `need` of T's tokens anywhere. Blocks of the texts that are left must hold a
+prefix token, `need` words (length filter), and from the first common token on enough
+tokens (positional filter). What remains is verified by the exact overlap.
 
 Everything is DataFrame functions over literal template arrays; `templates` has
 `MOST_TEMPLATES` entries at most, which bounds the literals. One scan counts the
@@ -56,21 +58,37 @@ def _frequencies(docs: DataFrame, text_col: str, vocabulary: list[str]) -> dict[
     return {r["w"]: r["count"] for r in counted.collect()}
 
 
-def _best_label(line: Column, plans: list[tuple[str, list[str], int]]) -> Column:
-    """array<struct<label, part>> of the templates that the words of one line contain."""
-    distinct = F.array_distinct(line)
-    out = []
-    for label, ordered, need in plans:
-        prefix = F.array(*map(F.lit, ordered[: len(ordered) - need + 1]))
-        whole = F.array(*map(F.lit, ordered))
-        # the line's tokens of this template, in the global order
-        common = F.array_intersect(whole, line)
-        # position of the first common token in the template: what follows it bounds the overlap
-        left = F.lit(len(ordered) + 1) - F.array_position(whole, F.get(common, F.lit(0)))
-        passes = F.arrays_overlap(line, prefix) & (F.size(distinct) >= need) & (F.coalesce(left, F.lit(0)) >= need)
-        hit = passes & (F.size(common) >= need)
-        out.append(F.when(hit, F.struct(F.lit(label).alias("label"), (F.size(common) / F.lit(float(len(ordered)))).alias("part"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+def _held(block: Column, ordered: list[str], need: int) -> Column:
+    """How many of a template's distinct tokens the words of a block hold; null if fewer than `need`."""
+    prefix = F.array(*map(F.lit, ordered[: len(ordered) - need + 1]))
+    whole = F.array(*map(F.lit, ordered))
+    # the block's tokens of this template, in the global order
+    common = F.array_intersect(whole, block)
+    # position of the first common token in the template: what follows it bounds the overlap
+    left = F.lit(len(ordered) + 1) - F.array_position(whole, F.get(common, F.lit(0)))
+    passes = F.arrays_overlap(block, prefix) & (F.size(block) >= need) & (F.coalesce(left, F.lit(0)) >= need)
+    return F.when(passes & (F.size(common) >= need), F.size(common))
+
+
+def _blocks(label: str, ordered: list[str], need: int, window: int) -> Column:
+    """array<struct<line, label, part>> of the lines in which a match of one template begins, over `_words`, `_line` and `_starts`."""
+    held = lambda begin, n: _held(F.slice("_words", begin + 1, n), ordered, need)
+
+    def best(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("_starts", k + 1), F.size("_words"))
+
+        def over(begin: Column) -> Column:
+            # what the words after the line hold by themselves belongs to a later line
+            found, later = held(begin, F.lit(window)), held(end, begin + window - end)
+            return F.when(found > F.coalesce(later, F.lit(0)), found)
+
+        begins = F.sequence(F.greatest(start, end - max(window - 1, 1)), end - 1)
+        over_ends = F.array_max(F.transform(begins, over))
+        return F.struct(F.get("_line", start).alias("line"), F.greatest(held(start, end - start), over_ends).alias("held"))
+
+    found = F.filter(F.transform("_starts", best), lambda x: x["held"].isNotNull())
+    part = lambda x: (x["held"] / F.lit(float(len(ordered)))).alias("part")
+    return F.transform(found, lambda x: F.struct(x["line"].alias("line"), F.lit(label).alias("label"), part(x)))
 
 
 def scan(
@@ -80,11 +98,11 @@ def scan(
     """Per row of `docs`: id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
     n_base counts the places where a phrase's words stand one after the other;
-    first_word and last_word are the smallest and largest start. blocks has line
-    number, label and contained part of every template match; score is the largest
-    part, 1 where a phrase stands, else 0. A null text is empty; empty texts have no
-    words and empty labels; repeated rows are scanned each. Lines end at line feeds;
-    texts and lines are taken whole."""
+    first_word and last_word are the smallest and largest start. blocks has the number
+    of each line in which a template match begins, label and largest part contained
+    (a notice in short lines can begin in more than one); score is the largest part, 1 where a phrase stands, else 0. A null text is empty; empty texts have
+    no words and empty labels; repeated rows are scanned each. Lines end at line feeds;
+    texts and lines are taken whole; windows of words run over line ends and blank lines."""
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
     if len(templates) > MOST_TEMPLATES:
@@ -98,8 +116,8 @@ def scan(
     for label, ws in sets.items():
         if ws:
             need = math.ceil(threshold * len(ws) - 1e-9)
-            plans.append((label, sorted(ws, key=lambda w: (count.get(w, 0), w)), need))
-    prefixes = sorted({w for _, ordered, need in plans for w in ordered[: len(ordered) - need + 1]})
+            plans.append((label, sorted(ws, key=lambda w: (count.get(w, 0), w)), need, math.ceil(len(tokens(templates[label])) / threshold - 1e-9)))
+    prefixes = sorted({w for _, ordered, need, _ in plans for w in ordered[: len(ordered) - need + 1]})
     starts = sorted({tokens(p)[-1] for p in phrases if tokens(p)})
 
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -113,24 +131,21 @@ def scan(
             places.append(_places(tokens(phrase), label))
     none = F.array().cast("array<struct<at:bigint,label:string>>")
     found = F.when(may & (F.size("_words") > 0), F.concat(*places)).otherwise(none) if places else none
-    # Blocks: lines with a prefix token of any template, in texts that hold one.
+    # Blocks: only in texts that hold a prefix token of any template and enough tokens of one.
     nothing = F.array().cast("array<struct<line:int,label:string,part:double>>")
+    blocks = nothing
     if plans:
         seeds = F.array(*map(F.lit, prefixes))
-        lines = F.transform(F.split("_text", "\n"), lambda s, k: F.struct(k.alias("line"), words_column(s).alias("words")))
-        likely = F.filter(lines, lambda s: F.arrays_overlap(s["words"], seeds))
-        matched = F.flatten(
-            F.transform(
-                likely,
-                lambda s: F.transform(
-                    _best_label(s["words"], plans),
-                    lambda m: F.struct(s["line"].alias("line"), m["label"].alias("label"), m["part"].alias("part")),
-                ),
-            )
-        )
-        blocks = F.when(F.arrays_overlap("_words", seeds), matched).otherwise(nothing)
-    else:
-        blocks = nothing
+        present = F.array_intersect(F.array(*map(F.lit, vocabulary)), "_words")
+        wide = wide.withColumn("_present", F.when(F.arrays_overlap("_words", seeds), present).otherwise(F.array().cast("array<string>")))
+        fits = [F.size(F.array_intersect(F.array(*map(F.lit, ordered)), "_present")) >= need for _, ordered, need, _ in plans]
+        wide = wide.withColumn("_fits", F.array(*fits))
+        # the line number of each word, and the words at which lines begin
+        line_of = F.flatten(F.transform(F.split("_text", "\n"), lambda s, k: F.array_repeat(k, F.size(words_column(s)))))
+        wide = wide.withColumn("_line", F.when(F.array_contains("_fits", True), line_of).otherwise(F.array().cast("array<int>")))
+        first = F.filter(F.sequence(F.lit(0), F.size("_line") - 1), lambda p: (p == 0) | (F.get("_line", p) != F.get("_line", p - 1)))
+        wide = wide.withColumn("_starts", F.when(F.size("_line") > 0, first).otherwise(F.array().cast("array<int>")))
+        blocks = F.concat(*(F.when(F.get("_fits", F.lit(k)), _blocks(*plan)).otherwise(nothing) for k, plan in enumerate(plans)))
     wide = wide.select(id_col, F.size("_words").cast("bigint").alias("n_words"), found.alias("_found"), blocks.alias("blocks"))
     at = F.transform("_found", lambda x: x["at"])
     base = F.array_sort(F.array_distinct(F.transform("_found", lambda x: x["label"])))

@@ -2,7 +2,9 @@
 and columns whose names clash with those of results."""
 
 import hashlib
+import math
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -133,6 +135,37 @@ def test_license_scan(frame):
     assert licenses.scan(docs_of(frame, ["mit license"]), phrases={}, templates={}).first().labels == ""
 
 
+def test_license_scan_reads_wrapped_notices(frame):
+    templates = licenses.TEMPLATES
+    texts, holds = [], []
+    for label in ("mit-text", "bsd", "mpl-2.0", "apache-2.0"):
+        for width in (15, 40, 72, 80):
+            for mark in ("", "// ", " * ", "\t"):
+                lines = textwrap.wrap(templates[label] + ". More words stand on the last line, as they do in most files", width)
+                texts.append("Ein Satz davor\n\n" + "\n".join(mark + line for line in lines) + "\n\ntext after it")
+                holds.append(label)
+    notice = textwrap.fill(templates["mit-text"], 72)
+    texts += [notice.replace("\n", "\r\n\r\n"), "\n".join([notice] * 50), "\n".join(["word " * 25] * 20 + notice.split("\n", 1)[:1] + ["word " * 25] + notice.split("\n", 1)[1:])]
+    got = {r.doc_id: r for r in licenses.scan(docs_of(frame, texts)).collect()}
+    for i, label in enumerate(holds):
+        assert label in got[i].labels.split(",") and got[i].score == 1.0, texts[i]
+    assert [(b.line, b.label, b.part) for b in got[8].blocks] == [(2, "mit-text", 1.0)]
+    n = len(holds)
+    assert got[n].labels == "mit-text" and [b.line for b in got[n].blocks] == [0] and got[n + 2].labels == ""
+    assert {b.line for b in got[n + 1].blocks} >= set(range(0, 100, 2))
+    for i, text in enumerate(texts):  # every line and every window of words against every template, without a filter
+        words, want, part = licenses.tokens(text), set(got[i].base_labels.split(",")) - {""}, 0.0
+        for label, template in templates.items():
+            whole, window = set(licenses.tokens(template)), math.ceil(len(licenses.tokens(template)) / licenses.THRESHOLD - 1e-9)
+            blocks = [licenses.tokens(line) for line in text.split("\n")] + [words[k : k + window] for k in range(len(words))]
+            held = max(len(whole & set(b)) for b in blocks)
+            if held >= licenses.THRESHOLD * len(whole) - 1e-9:
+                want.add(label)
+                part = max(part, held / len(whole))
+        assert got[i].labels == ",".join(sorted(want)), text
+        assert got[i].score == (1.0 if got[i].base_labels else part), text
+
+
 # 3 WARC
 
 

@@ -196,7 +196,7 @@ def words(df: DataFrame, tokenizer: Tokenizer, text: str = "text", keep: list[st
             out += [{_KEY: k, "pos": n, "word": w} for n, w in enumerate(p.text for p in parts if p.text)]
         return out
 
-    return _batches(df, {"text": text}, run, "pos int, word string", keep or [text])
+    return _batches(df, {"text": text}, run, "pos int, word string", keep)
 
 
 #: Splitters with an exact native form, by type; options as in tokenizer.json.

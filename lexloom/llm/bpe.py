@@ -7,29 +7,38 @@ may stand side by side is read from the pair-compatibility table, which follows
 both tokens' merge trees: no merge of lower rank may cross their border. The
 sequence found is the one that the merges give, in time linear in the length.
 
-Decoding gathers slices of one byte string by an offset table. A bounded memo of
-white-space separated chunks saves repeated work; it changes no result, since
-neither normalization nor splitting looks across white space."""
+The backtracking encoder is a published public algorithm. Decoding gathers slices of
+one byte string by an offset table. Texts are split and equal chunks found in Arrow,
+and a bounded memo of chunks saves repeated work; neither changes a result, since
+normalization and splitting don't look across white space."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import arrow_map, rows, table
+from lexloom.llm.common import arrow_map, portions, rows, table
 
 END = "\x00"  # stands for the end-of-word suffix inside the kernel
-MEMO = 200_000
-LONG_CHUNK = 256
+#: Words and chunks whose ids are kept, some 50 bytes each; those of more than `LONG` bytes are not.
+MEMO = 500_000
+LONG = 256
+#: Pairs of the compatibility table that are kept.
+COMPATIBLE = 300_000
+_SPACED = "\t a\n  .\v1\f\r \x85b\xa0\u2003.\u3000 '"  # white space around signs of each kind: no word may hold any
+_BREAK = 0xFFFFFFFF  # stands for the end of a chunk among ids
 
 
 def byte_chars() -> list[str]:
@@ -39,35 +48,42 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
 
 
-class Memo(dict):
-    """A mapping that fills itself; beyond `limit` new entries the older half of what it holds goes."""
+class Layout:
+    """How a tokenizer file takes texts apart: added tokens, normalizers and the pattern of its words."""
 
-    def __init__(self, make, limit: int = MEMO) -> None:
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        self.put(key, value)
-        return value
-
-    def put(self, key, value) -> None:
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        if len(key) <= LONG_CHUNK:
-            self[key] = value
+    def __init__(self, spec: dict) -> None:
+        self.suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.added = [(t["content"], t["id"]) for t in spec.get("added_tokens", [])]
+        if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens with matching flags are not supported")
+        steps = lambda part, key: (part.get(key) or [part]) if part else []
+        self.normalizers, self.pattern, byte_level = [], None, False
+        for n in steps(spec.get("normalizer"), "normalizers"):
+            if n["type"] in ("NFC", "Lowercase"):
+                self.normalizers.append({"NFC": "nfc", "Lowercase": "lower"}[n["type"]])
+            elif n["type"] != "Replace" or n["pattern"].get("Regex") != r"\s+" or not n["content"].isspace():
+                raise ValueError(f"normalizer {n['type']} is not supported")
+        for p in steps(spec.get("pre_tokenizer"), "pretokenizers"):
+            if p["type"] == "Split" and p["behavior"] == "Removed" and p["invert"]:
+                self.pattern = p["pattern"]["Regex"]
+            elif p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p.get("use_regex", True):
+                byte_level = True
+            else:
+                raise ValueError(f"pre-tokenizer {p['type']} is not supported in this form")
+        if not byte_level or not self.pattern or spec.get("post_processor") or any(regex.search(r"\s", m) for m in regex.findall(self.pattern, _SPACED)):
+            raise ValueError("the file's splitter or post-processor is not supported")
 
 
-class Tables:
+class Tables(Layout):
     """What the kernel needs of a tokenizer file; built once on the driver and broadcast."""
 
     def __init__(self, spec: dict) -> None:
+        super().__init__(spec)
         model = spec["model"]
         if model.get("type") not in (None, "BPE") or model.get("dropout") or model.get("byte_fallback") or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("ignore_merges"):
             raise ValueError("only plain byte-level BPE is supported")
-        self.suffix = model.get("end_of_word_suffix") or ""
+        if spec.get("decoder"):
+            raise ValueError("the file's decoder is not supported")
         vocab: dict[str, int] = model["vocab"]
         inner = lambda t: t[: -len(self.suffix)] + END if self.suffix and t.endswith(self.suffix) and len(t) > len(self.suffix) else t
         pairs = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
@@ -88,30 +104,7 @@ class Tables:
         symbol = {self.texts[k]: k for k in range(len(base))}
         self.reachable = [k < len(base) or self.merge(self.texts[k], symbol) == [k] for k in range(len(order))]
         self.tokens: dict[int, str] = {i: t for t, i in sorted(vocab.items(), reverse=True)}
-        self.added = [(t["content"], t["id"]) for t in spec.get("added_tokens", [])]
-        if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
-            raise ValueError("added tokens with matching flags are not supported")
         self.tokens.update((i, t) for t, i in self.added)
-        steps = lambda part, key: (part.get(key) or [part]) if part else []
-        self.normalizers, self.pattern, byte_level = [], None, False
-        for n in steps(spec.get("normalizer"), "normalizers"):
-            if n["type"] == "NFC":
-                self.normalizers.append(("nfc", "", ""))
-            elif n["type"] == "Lowercase":
-                self.normalizers.append(("lower", "", ""))
-            elif n["type"] == "Replace" and "Regex" in n["pattern"] and n["pattern"]["Regex"] == r"\s+" and not n["content"].strip():
-                self.normalizers.append(("space", "", n["content"]))
-            else:
-                raise ValueError(f"normalizer {n['type']} is not supported")
-        for p in steps(spec.get("pre_tokenizer"), "pretokenizers"):
-            if p["type"] == "Split" and p["behavior"] == "Removed" and p["invert"]:
-                self.pattern = p["pattern"]["Regex"]
-            elif p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p.get("use_regex", True):
-                byte_level = True
-            else:
-                raise ValueError(f"pre-tokenizer {p['type']} is not supported in this form")
-        if spec.get("decoder") or not byte_level or not self.pattern or spec.get("post_processor"):
-            raise ValueError("the file's decoder, splitter or post-processor is not supported")
 
     def merge(self, text: str, symbol: dict[str, int]) -> list[int]:
         """Plain merging by rank: the meaning that the backtracking encoder has to match."""
@@ -129,10 +122,97 @@ def symbols(text: str) -> list[str]:
     return [*text[:-2], text[-2:]] if text.endswith(END) else list(text)
 
 
-class Coder:
+class Memo:
+    """Ids of strings, held in Arrow arrays. Beyond `limit` entries three quarters stay, those asked for most."""
+
+    def __init__(self, make, limit: int = MEMO) -> None:
+        self.make, self.limit = make, limit
+        self.keys, self.lists, self.counts = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32())), np.zeros(0, np.int64)
+
+    def take(self, strings: pa.StringArray) -> pa.ListArray:
+        """The ids of each string; those of strings that are not known are made by one call."""
+        found = pc.index_in(strings, value_set=self.keys)
+        at, known = pc.fill_null(found, -1).to_numpy(zero_copy_only=False), len(self.keys)
+        if found.null_count:
+            new = strings.filter(pc.is_null(found)).dictionary_encode()
+            at = at.copy()
+            at[at < 0] = new.indices.to_numpy() + known
+            self.keys = pa.concat_arrays([self.keys, new.dictionary])
+            self.lists = pa.concat_arrays([self.lists, self.make(new.dictionary)])
+        out = self.lists.take(pa.array(at))
+        counts = np.bincount(at, minlength=len(self.keys))
+        counts[:known] += self.counts // 2
+        short = pc.binary_length(self.keys.slice(known)).to_numpy(zero_copy_only=False) <= LONG
+        if len(self.keys) > self.limit or not short.all():
+            keep = np.concatenate((np.ones(known, bool), short))
+            if len(self.keys) > self.limit:
+                top = np.argpartition(-counts, self.limit * 3 // 4)[: self.limit * 3 // 4]
+                keep &= np.isin(np.arange(len(keep)), top)
+            mask = pa.array(keep)
+            self.keys, self.lists, counts = self.keys.filter(mask), self.lists.filter(mask), counts[keep]
+        self.counts = counts
+        return out
+
+
+class Pieces:
+    """Texts cut at white space into chunks, chunks into added tokens and words; `word` gives a word's ids.
+
+    A chunk's ids don't depend on what stands around it, since no normalizer and no
+    pattern of a `Layout` looks across white space. What is kept of chunks and words
+    is bounded."""
+
+    def __init__(self, layout: Layout, word) -> None:
+        self.words = Memo(lambda words: lists_of([(_BREAK,) if w == "\n" else word(w) for w in words.to_numpy(zero_copy_only=False)]))
+        self.chunks = Memo(self._make)
+        self.normalizers = layout.normalizers
+        self.find = regex.compile(f"(?:{layout.pattern})|\n").findall
+        self.added = regex.compile("|".join(regex.escape(c) for c, _ in sorted(layout.added, key=lambda x: -len(x[0])))) if layout.added else None
+        self.added_ids = dict(layout.added)
+
+    def _plain(self, text: str) -> np.ndarray:
+        """Ids of a text's words; a line end gives `_BREAK`. White space is not replaced, since no word holds any."""
+        for kind in self.normalizers:
+            if kind == "lower":  # character by character: only a capital sigma's lower case depends on what stands around it
+                text = "".join(c.lower() for c in text) if "\u03a3" in text else text.lower()
+            elif not text.isascii():
+                text = unicodedata.normalize("NFC", text)
+        return self.words.take(pa.array(self.find(text), pa.string())).flatten().to_numpy()
+
+    def _make(self, chunks: pa.StringArray) -> pa.ListArray:
+        """Ids of chunks that hold no white space, from all of them at once, a line each."""
+        text = "\n".join([*chunks.to_numpy(zero_copy_only=False), ""])
+        parts, at = [], 0
+        for m in self.added.finditer(text) if self.added else ():
+            parts += [self._plain(text[at : m.start()]), np.array([self.added_ids[m[0]]], np.uint32)]
+            at = m.end()
+        flat = np.concatenate([*parts, self._plain(text[at:])])
+        breaks = np.flatnonzero(flat == _BREAK)
+        ends = np.concatenate(([0], breaks - np.arange(len(breaks))))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[flat != _BREAK]))
+
+    def encode(self, data: bytes | None) -> np.ndarray:
+        """Ids of one UTF-8 text (none for null)."""
+        return self.encode_all(pa.array([data], pa.binary()))[0]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (uint32) of a binary array of UTF-8 texts, one after the other, and the places where texts start and the last ends."""
+        text = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)
+        split = pc.ascii_split_whitespace(pc.fill_null(text, ""))
+        found = self.chunks.take(split.flatten())
+        ends, offsets = found.offsets.to_numpy(), split.offsets.to_numpy()
+        return found.flatten().to_numpy(), (ends[offsets - offsets[0]] - ends[0]).astype(np.int64)
+
+
+def lists_of(lists: list[tuple[int, ...]]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, lists)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(chain.from_iterable(lists), np.uint32, int(ends[-1]))))
+
+
+class Coder(Pieces):
     """Encoder and decoder over `Tables`, one per Python worker."""
 
     def __init__(self, tables: Tables) -> None:
+        super().__init__(tables, self._word)
         self.t = tables
         self.matcher = ahocorasick.Automaton()
         for k, text in enumerate(tables.texts):
@@ -144,21 +224,13 @@ class Coder:
         #: The longest token that is a proper prefix of a token, or -1.
         self.shorter = [next((number[t[:i]] for i in range(len(t) - 1, 0, -1) if t[:i] in number), -1) for t in tables.texts]
         self.compatible: dict[int, bool] = {}
-        self.words = Memo(self._word)
-        self.chunks = Memo(self._chunk)
-        self.find = regex.compile(tables.pattern).findall
-        self.space = regex.compile(r"\s+").sub
         self.end = END if tables.suffix else ""
         self.chars = byte_chars()
-        self.added = regex.compile("|".join(regex.escape(c) for c, _ in sorted(tables.added, key=lambda x: -len(x[0])))) if tables.added else None
-        self.added_ids = dict(tables.added)
-        self.angled = all(c.startswith("<") for c in self.added_ids)
         top = max(tables.tokens) + 1
         texts = [tables.tokens.get(i, "").encode() for i in range(top)]
-        self.store = b"".join(texts)
-        self.offsets = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
-        o = self.offsets.tolist()
-        self.slices = [self.store[a:b] for a, b in zip(o, o[1:])]
+        #: The offset table: token i is the bytes from offset i to offset i + 1 of one buffer.
+        self.slices = pa.array(texts, pa.binary())
+        self.decimals = pa.array([b"%d" % i for i in range(top)], pa.binary())
         self.known = np.array([i in tables.tokens for i in range(top)])
 
     def _may_follow(self, a: int, b: int) -> bool:
@@ -187,13 +259,16 @@ class Coder:
                     if x == limit:
                         ok = True
                         break
-        if len(self.compatible) > 2_000_000:
+        if len(self.compatible) > COMPATIBLE:
             self.compatible.clear()
         self.compatible[key] = ok
         return ok
 
     def tokens_of(self, text: str) -> list[int]:
         """Internal tokens of one pre-token whose characters are all in the alphabet."""
+        greedy = [k for _, (k, _) in self.matcher.iter_long(text)]
+        if all(map(self._may_follow, greedy, greedy[1:])) and sum(map(self.sizes.__getitem__, greedy)) == len(text):
+            return greedy  # the longest token at each place, and none had to be taken back
         n = len(text)
         longest = [-1] * (n + 1)
         for end, (k, size) in self.matcher.iter(text):
@@ -231,46 +306,29 @@ class Coder:
         text += self.end
         return tuple(self.t.ids[k] for k in self.tokens_of(text))
 
-    def _plain(self, text: str) -> list[int]:
-        plain = text.isascii() and text.isprintable() and " " not in text
-        for kind, _, content in self.t.normalizers:
-            if kind == "lower":  # character by character: only a capital sigma's lower case depends on what stands around it
-                text = "".join(c.lower() for c in text) if "\u03a3" in text else text.lower()
-            elif plain:
-                continue
-            elif kind == "nfc":
-                text = unicodedata.normalize("NFC", text)
-            else:
-                text = self.space(content, text)
-        words, out = self.words, []
-        for w in self.find(text):
-            out.extend(words[w])
-        return out
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray, skip: frozenset[int] = frozenset()) -> pa.Array:
+        """Binary array of texts: tokens joined by a space, in UTF-8; unknown ids and those of `skip` drop out."""
+        good = (ids < len(self.known)) & (ids >= 0)
+        if not self.known.all():
+            good &= self.known[np.where(good, ids, 0)]
+        if skip:
+            good &= ~np.isin(ids, list(skip))
+        if not good.all():
+            ends = np.concatenate(([0], np.cumsum(good)))[ends]
+            ids = ids[good]
+        return joined(self.slices, ids, ends)
 
-    def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        out: list[int] = []
-        at = 0
-        if self.added is not None and (not self.angled or "<" in text):
-            for m in self.added.finditer(text):
-                out += self._plain(text[at : m.start()])
-                out.append(self.added_ids[m[0]])
-                at = m.end()
-        out += self._plain(text[at:])
-        return np.array(out, "<u4").tobytes()
 
-    def encode(self, data: bytes | None) -> np.ndarray:
-        """Ids of a UTF-8 text (none for null), as little-endian unsigned 32-bit integers."""
-        return np.frombuffer(b"".join(map(self.chunks.__getitem__, data.split())) if data else b"", "<u4")
+def joined(parts: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The parts that ids name, joined by a space for each range between two ends."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts.take(pa.array(ids))), pa.scalar(b" "))
 
-    def decode(self, ids: np.ndarray, skip: frozenset[int] = frozenset()) -> bytes:
-        """Tokens joined by a space, in UTF-8; unknown ids and those of `skip` drop out."""
-        ids = ids[ids < len(self.known)]
-        if not self.known.all():
-            ids = ids[self.known[ids]]
-        if skip:
-            ids = ids[~np.isin(ids, list(skip))]
-        return b" ".join(map(self.slices.__getitem__, ids.tolist()))
+
+def digests(texts: pa.Array) -> list[str]:
+    """SHA-256 of each value of a binary array without nulls."""
+    offsets, data = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset :][: len(texts) + 1].tolist(), texts.buffers()[2]
+    view = memoryview(data) if data is not None else b""
+    return [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(offsets, offsets[1:])]
 
 
 @lru_cache(4)
@@ -297,7 +355,7 @@ def default_path() -> str:
 
 
 def encode(
-    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, ids: bool = True, digests: bool = True
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, ids: bool = True, digest: bool = True
 ) -> DataFrame:
     """Per row of `docs`: id, n_tokens and, as asked for, ids (array<int>) and SHA-256 digests of the ids and of their decoding.
 
@@ -307,33 +365,22 @@ def encode(
     path = path or default_path()
     shared = docs.sparkSession.sparkContext.broadcast(tables_of(path))
 
-    def run(batch: pa.RecordBatch) -> dict:
-        c = coder(path, shared.value)
-        decimal = _decimals(len(c.slices))
-        sizes, all_ids, sums, texts = [], [], [], []
-        for data in rows(batch, "data"):
-            got = c.encode(data)
-            sizes.append(len(got))
-            if ids:
-                all_ids.append(got)
-            if digests:
-                sums.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, got.tolist()))).hexdigest())
-                texts.append(hashlib.sha256(c.decode(got)).hexdigest())
-        out = {"id": batch.column(0), "n_tokens": sizes, "ids_sha256": sums, "decoded_sha256": texts}
-        if ids:
-            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids).astype(np.int32)))
-        return out
-
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("data"))
     fields = [f"id {dict(thin.dtypes)['id']}", "n_tokens bigint"]
-    fields += ["ids array<int>"] * ids + ["ids_sha256 string", "decoded_sha256 string"] * digests
-    return arrow_map(thin, run, ", ".join(fields)).withColumnRenamed("id", id_col)
+    fields += ["ids array<int>"] * ids + ["ids_sha256 string", "decoded_sha256 string"] * digest
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = coder(path, shared.value)
+        for part in (p for batch in batches for p in portions(batch, "data")):
+            found, ends = c.encode_all(part.column(1))
+            out = [part.column(0), pa.array(np.diff(ends))]
+            if ids:
+                out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.astype(np.int32))))
+            if digest:
+                out += [pa.array(digests(joined(c.decimals, found, ends)), pa.string()), pa.array(digests(c.decode_all(found, ends)), pa.string())]
+            yield pa.RecordBatch.from_arrays(out, [f.split()[0] for f in fields])
 
-@lru_cache(2)
-def _decimals(n: int) -> list[bytes]:
-    return [b"%d" % i for i in range(n)]
+    return thin.mapInArrow(run, ", ".join(fields)).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", id_col: str = "doc_id", path: str | None = None, skip_special_tokens: bool = False) -> DataFrame:
@@ -345,8 +392,10 @@ def decode(df: DataFrame, ids_col: str = "ids", id_col: str = "doc_id", path: st
 
     def run(batch: pa.RecordBatch) -> dict:
         c = coder(path, shared.value)
-        lists = ([i for i in x or [] if i is not None and i >= 0] for x in rows(batch, "ids"))
-        return {"id": batch.column(0), "text": [c.decode(np.array(x, np.int64), skip).decode() for x in lists]}
+        lists = [[i for i in x or [] if i is not None] for x in rows(batch, "ids")]
+        ends = np.cumsum([0, *map(len, lists)])
+        flat = np.fromiter((i for x in lists for i in x), np.int64, int(ends[-1]))
+        return {"id": batch.column(0), "text": c.decode_all(flat, ends, skip).cast(pa.string())}
 
     thin = df.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<bigint>").alias("ids"))
     return arrow_map(thin, run, f"id {dict(thin.dtypes)['id']}, text string").withColumnRenamed("id", id_col)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +41,18 @@ def words_column(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and every executor can reach.
 
-    It lies below `spark.checkpoint.dir`. Where that is unset (local tests), a
-    folder of this machine is set as checkpoint folder first."""
+    It lies below `spark.checkpoint.dir`. Where that is unset, a local session gets a
+    folder of this machine; a cluster has none that all its machines share, so there
+    it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="lexloom-")
+        if current.isDefined():
+            base = current.get()
+        elif not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        else:
+            base = tempfile.mkdtemp(prefix="lexloom-")
     return f"{base.rstrip('/')}/lexloom-{uuid.uuid4().hex}"
 
 
@@ -63,14 +71,43 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """`names`, changed where `df` has columns of these names."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def rows(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+#: Bytes of text that are worked on at once.
+PORTION = 16 << 20
+
+
+def portions(batch: pa.RecordBatch, column: str, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, about equal, with at most `most` bytes in a binary column each, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy().astype(np.int64)
+    ends, first = np.cumsum(sizes), 0
+    total = int(ends[-1]) if len(ends) else 0
+    share = -(-total // max(1, -(-total // most)))
+    while first < batch.num_rows:
+        stop = max(first + 1, int(np.searchsorted(ends, share + (ends[first - 1] if first else 0), "right")))
+        yield batch.slice(first, stop - first)
+        first = stop
+
+
 def arrow_map(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list | np.ndarray | pa.Array]], schema: str
+    df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list | np.ndarray | pa.Array]], schema: str, text: str | None = None
 ) -> DataFrame:
-    """`df` with `fn` applied to each Arrow batch; it returns one column of values per field of `schema`."""
+    """`df` with `fn` applied to each Arrow batch; it returns one column of values per field of `schema`.
+
+    With `text`, the name of a binary column, batches are cut into `portions` first."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -78,12 +115,13 @@ def arrow_map(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                got = fn(batch)
-                yield pa.RecordBatch.from_arrays(
-                    [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in target],
-                    schema=target,
-                )
+            for part in portions(batch, text) if text else (batch,):
+                if part.num_rows:
+                    got = fn(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in target],
+                        schema=target,
+                    )
 
     return df.mapInArrow(run, schema)
 

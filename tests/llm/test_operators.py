@@ -3,14 +3,17 @@ and columns whose names clash with those of results."""
 
 import hashlib
 import math
+import os
 import re
 import textwrap
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexloom.llm import bpe, chat, decontaminate, embeddings, licenses, simhash, store, toxicity, urls, warc
@@ -319,13 +322,99 @@ def test_store(spark, frame):
         at += len(own)
     chunks = store.read_chunks(spark, path)
     assert chunks.count() == chunks.select("hash").distinct().count() < spark.read.parquet(f"{path}/recipes").selectExpr("explode(hashes)").count()
-    manifest = spark.read.parquet(f"{path}/manifest").agg({"documents": "sum", "ids": "sum"}).first()
-    assert sorted(manifest) == sorted([len(TEXTS), at])
+    for rows in ("part is null", "part is not null"):  # the root's row, and the parts
+        manifest = spark.read.parquet(f"{path}/manifest").where(rows).agg(F.sum("documents"), F.sum("ids")).first()
+        assert tuple(manifest) == (len(TEXTS), at)
     empty = shared_dir(spark)
     store.write(docs_of(frame, []), empty)
     assert store.read_digests(spark, empty).collect() == []
 
 
+def damaged(spark, path, name, change):
+    """A copy of a store with one of its tables changed."""
+    copy = shared_dir(spark)
+    for part in ("chunks", "recipes", "manifest"):
+        df = spark.read.parquet(f"{path}/{part}")
+        (change(df) if part == name else df).write.parquet(f"{copy}/{part}")
+    return copy
+
+
+def test_store_tells_what_was_tampered_with(spark, frame):
+    path = shared_dir(spark)
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"], 900)) for _ in range(12)]
+    store.write(docs_of(frame, texts), path)
+    store.verify(spark, path)
+    low = spark.read.parquet(f"{path}/recipes").agg(F.min("part").alias("a"), F.max("part").alias("b")).first()
+    assert low.a < low.b
+    swapped = F.when(F.col("part") == low.a, low.b).when(F.col("part") == low.b, low.a).otherwise(F.col("part")).cast("int")
+    for name, change in (
+        ("recipes", lambda df: df.where("doc_id <> 4")),
+        ("recipes", lambda df: df.withColumn("part", swapped)),
+        ("recipes", lambda df: df.withColumn("start", F.col("start") + (F.col("doc_id") == 3).cast("bigint"))),
+        ("recipes", lambda df: df.where(F.col("part") != low.b)),
+        ("manifest", lambda df: df.where(F.col("part").isNull() | (F.col("part") != low.a))),
+        ("manifest", lambda df: df.where(F.col("part").isNotNull())),
+    ):
+        with pytest.raises(store.StoreError):
+            store.read_digests(spark, damaged(spark, path, name, change))
+    first = spark.read.parquet(f"{path}/chunks").agg(F.min("hash")).first()[0]
+    holders = {r.doc_id for r in spark.read.parquet(f"{path}/recipes").where(F.array_contains("hashes", F.lit(first))).collect()}
+    for change in (
+        lambda df: df.where(F.col("hash") != F.lit(first)),
+        lambda df: df.withColumn("payload", F.when(F.col("hash") == F.lit(first), F.overlay("payload", F.lit(b"zz"), F.lit(3))).otherwise(F.col("payload"))),
+    ):
+        bad = damaged(spark, path, "chunks", change)
+        assert {r.doc_id for r in store.read_digests(spark, bad).where("not intact").collect()} == holders
+        with pytest.raises(Exception, match="missing or altered"):
+            store.read(spark, bad).collect()
+    lost = damaged(spark, path, "recipes", lambda df: df.withColumn("hashes", F.when(F.col("doc_id") == 5, F.reverse("hashes")).otherwise(F.col("hashes"))))
+    assert [r.doc_id for r in store.read_digests(spark, lost).where("not intact").collect()] == [5]
+
+
+def test_store_query_leaves_no_folder(spark, frame, tmp_path):
+    docs_of(frame, ["one two", None, "one two"], [1, 2, 2]).write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    got = store.op6_token_store(spark, str(tmp_path)).orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.n_tokens, r.intact) for r in got] == [(1, 0, 3, True), *sorted([(2, 3, r.n_tokens, True) for r in got[1:2]]), (2, 3 + got[1].n_tokens, got[2].n_tokens, True)]
+    assert {got[1].n_tokens, got[2].n_tokens} == {1, 3}
+    assert not {f for f in set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - before if f.startswith("lexloom-")}
+    whole = bpe.op7_bpe(spark, str(tmp_path)).collect()
+    assert sorted(r.n_tokens for r in whole) == [0, 2, 2]
+
+
+def adversarial(seed, n):
+    """Texts that put the shortcuts of chunks and words to the test: letter case, combining marks, odd white space, added tokens."""
+    rng = np.random.default_rng(seed)
+    pieces = [
+        "a", "B", "J", "j", "\u030c", "\u0301", "\u0300", "\u0327", "é", "É", "Σ", "σ", "ς", "İ", "ı", "ß", "ẞ", "ǰ", "Å", "\u212b", "ﬁ", "ſ", "ʼn", "Ǆ", "ŉ", "\u0345", "\u1f88",
+        " ", "  ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "\ufeff", "\x00", "\x7f",
+        "'", "'s", "'S", "'ll", "'T", "’s", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "<", ">", "</w>",
+        "1", "12", "½", "²", "٣", "Ⅷ", ".", "...", "!?", "€", "你好", "한글", "\u1112\u1161\u11ab", "👍🏽", "👩\u200d💻", "क्षि", "ทำ", "ا\u0651", "wordpiece", "THE", "antidisestablishment",
+    ]
+    return ["".join(rng.choice(pieces, int(k))) for k in rng.integers(0, 40, n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_shortcuts_equal_the_library_on_whole_texts(seed, monkeypatch):
+    monkeypatch.setattr(bpe, "LONG", 6)
+    t = library()
+    coders = [bpe.Coder(bpe.tables_of(bpe.default_path())), store._Encoder(open(bpe.default_path(), encoding="utf-8").read()).pieces]
+    texts = adversarial(seed, 1500)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for coder in coders:
+        coder.chunks.limit, coder.words.limit = 200, 100  # both memos overflow again and again
+        for at in range(0, len(texts), 250):
+            ids, ends = coder.encode_all(pa.array([x.encode() for x in texts[at : at + 250]], pa.binary()).slice(0))
+            for k in range(250):
+                assert ids[ends[k] : ends[k + 1]].tolist() == want[at + k], texts[at + k]
+        sliced = pa.array([x.encode() for x in texts[:50]] + [None], pa.binary()).slice(7)
+        ids, ends = coder.encode_all(sliced)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [*want[7:50], []]
+    back = coders[0].decode_all(np.array([i for x in want for i in x]), np.cumsum([0, *map(len, want)])).to_pylist()
+    assert [x.decode() for x in back] == [t.decode(x, skip_special_tokens=False) for x in want]
+
+
 def test_chunks_follow_content():
     rng = np.random.default_rng(2)
     ids = rng.integers(0, 49000, 30000).astype(np.uint32)

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -82,10 +83,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def named(*names: str) -> list[Column]:
+    """Columns by their whole names, dots and backticks in them too."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def rows(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def schema_of(more: str, **first: DataType) -> StructType:
+    """A schema of fields `first`, whose types may hold names that DDL can't, and of the DDL `more`."""
+    from pyspark.sql.types import StructField, _parse_datatype_string
+
+    return StructType([*(StructField(n, t) for n, t in first.items()), *_parse_datatype_string(more).fields])
+
+
 #: Bytes of text that are worked on at once.
 PORTION = 16 << 20
 
@@ -103,15 +116,15 @@ def portions(batch: pa.RecordBatch, column: str, most: int = PORTION) -> Iterato
 
 
 def arrow_map(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list | np.ndarray | pa.Array]], schema: str, text: str | None = None
+    df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list | np.ndarray | pa.Array]], schema: str | StructType, text: str | None = None
 ) -> DataFrame:
     """`df` with `fn` applied to each Arrow batch; it returns one column of values per field of `schema`.
 
     With `text`, the name of a binary column, batches are cut into `portions` first."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    schema = schema_of(schema) if isinstance(schema, str) else schema
+    target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -95,13 +95,17 @@ def _packed(x: np.ndarray) -> bytes:
     """Components as 32-bit floats where that loses nothing; the first byte says which."""
     with np.errstate(over="ignore"):
         narrow = x.astype(np.float32)
-    return b"\4" + narrow.tobytes() if (narrow == x).all() else b"\10" + x.tobytes()
+    return b"\x04" + narrow.tobytes() if (narrow == x).all() else b"\x08" + x.tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.float32 if data[0] == 4 else np.float64, offset=1).astype(np.float64)
 
 
+def _size_of(data: bytes) -> int:
+    return (len(data) - 1) // data[0]
+
+
 def usable(values: list | None) -> bool:
     """Whether a vector can link: not null or zero, all components finite."""
     if not values or any(v is None for v in values):
@@ -110,44 +114,61 @@ def usable(values: list | None) -> bool:
     return bool(np.isfinite(x).all() and x.any())
 
 
-def _spread(tables: int, hashes: int, probes: int):
+def _hashed(tables: int, hashes: int, probes: int):
+    """Each vector with its buckets in all tables (`places`, in the narrowest integers that hold them) and its components packed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by_size: dict[int, list[int]] = defaultdict(list)
             vectors = rows(batch, "vector")
             for i, v in enumerate(vectors):
                 by_size[len(v)].append(i)
-            labels, keys, weights = rows(batch, "label"), rows(batch, "key"), rows(batch, "weight")
             for size, index in by_size.items():
                 for at in range(0, len(index), 1024):
                     part = index[at : at + 1024]
                     raw = np.array([vectors[i] for i in part], np.float64)
-                    found = buckets(units(raw), tables, hashes, probes)
-                    n, places = len(part), tables * (1 + probes)
-                    flat = found.reshape(n, places)
-                    salt = np.array([hash((labels[i], size)) for i in part], np.int64)
-                    table_no = np.repeat(np.arange(tables), 1 + probes)
-                    with np.errstate(over="ignore"):
-                        bucket = (flat * np.int64(64) + table_no) * np.int64(-7046029254386353131) ^ salt[:, None] * np.int64(-4417276706812531889)
-                    line = np.repeat(np.arange(n), places)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(bucket.ravel()),
-                            pa.array(np.tile(np.arange(places) % (1 + probes) == 0, n)),
-                            pa.array(np.tile(table_no, n).astype(np.int32)),
-                            pa.array(np.array([keys[i] for i in part], np.int64)[line]),
-                            pa.array(np.array([weights[i] for i in part], np.int64)[line]),
-                            pa.array([labels[i] for i in part], pa.int64()).take(pa.array(line)),
-                            pa.array([flat[i].tobytes() for i in range(n)], pa.binary()).take(pa.array(line)),
-                            pa.array([_packed(raw[i]) for i in range(n)], pa.binary()).take(pa.array(line)),
-                        ],
-                        ["bucket", "home", "table_no", "key_id", "weight", "label", "places", "vector"],
-                    )
+                    places = buckets(units(raw), tables, hashes, probes).astype(_place_type(size, hashes))
+                    own = [batch.column(batch.schema.get_field_index(c)).take(pa.array(part)) for c in ("key", "weight", "label")]
+                    made = [[x.tobytes() for x in places], [_packed(x) for x in raw]]
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, pa.binary()) for x in made)], ["key_id", "weight", "label", "places", "vector"])
+
+    return run
+
+
+def _spread(tables: int, hashes: int, probes: int):
+    """A row for each bucket of each hashed vector; the low bits of a bucket name its table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, table_no = tables * (1 + probes), np.repeat(np.arange(tables), 1 + probes)
+        for batch in batches:
+            found = np.empty((batch.num_rows, places), np.int64)
+            by_size: dict[int, list[int]] = defaultdict(list)
+            for i, v in enumerate(rows(batch, "vector")):
+                by_size[_size_of(v)].append(i)
+            labels, held = rows(batch, "label"), rows(batch, "places")
+            for size, index in by_size.items():
+                flat = np.frombuffer(b"".join(held[i] for i in index), _place_type(size, hashes)).reshape(len(index), places).astype(np.int64)
+                salt = np.array([hash((labels[i], size)) for i in index], np.int64)
+                with np.errstate(over="ignore"):
+                    bucket = (flat * np.int64(64) + table_no) * np.int64(-7046029254386353131) ^ salt[:, None] * np.int64(-4417276706812531889)
+                found[index] = (bucket & ~np.int64(63)) | table_no
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                line = pa.array(np.repeat(np.arange(part.num_rows), places))
+                home = pa.array(np.tile(np.arange(places) % (1 + probes) == 0, part.num_rows))
+                copies = part.take(line)
+                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 1024].ravel()), home, *copies.columns], ["bucket", "home", *copies.schema.names])
 
     return run
 
 
-def _compare(threshold: float, tables: int, probes: int):
+def _place_type(size: int, hashes: int) -> type:
+    """The narrowest unsigned integers for the buckets of vectors of `size` components."""
+    most = (2 * max(2, 1 << (size - 1).bit_length())) ** hashes
+    return np.uint16 if most <= 1 << 16 else np.uint32 if most <= 1 << 32 else np.int64
+
+
+def _compare(threshold: float, tables: int, hashes: int, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, sums, edges = Forest(), defaultdict(int), []
 
@@ -166,19 +187,29 @@ def _compare(threshold: float, tables: int, probes: int):
             kind = t.column("kind").to_numpy()
             key = t.column("key_id").to_numpy()
             weight = t.column("weight").to_numpy()
-            table_no = int(t.column("table_no")[0].as_py())
-            unit = units(np.stack([_unpacked(v) for v in t.column("vector").to_pylist()]))
-            places = np.frombuffer(b"".join(t.column("places").to_pylist()), np.int64).reshape(len(unit), tables, 1 + probes)
             label = t.column("label").to_numpy()
+            table_no = int(t.column("bucket")[0].as_py()) & 63
+            vectors = [_unpacked(v) for v in t.column("vector").to_pylist()]
+            places = t.column("places").to_pylist()
+            # vectors of other labels or sizes can only share a bucket by a clash of its hash
+            parts = defaultdict(list)
+            for i, v in enumerate(vectors):
+                parts[label[i], len(v)].append(i)
+            for (_, size), index in parts.items():
+                unit = units(np.stack([vectors[i] for i in index]))
+                own_places = np.frombuffer(b"".join(places[i] for i in index), _place_type(size, hashes)).reshape(len(index), tables, 1 + probes)
+                meet(unit, own_places, table_no, kind[index], key[index], weight[index])
+
+        def meet(unit: np.ndarray, places: np.ndarray, table_no: int, kind: np.ndarray, key: np.ndarray, weight: np.ndarray) -> None:
             own, others = np.flatnonzero(kind & 1), np.flatnonzero(kind & 2)
             for i in range(0, len(own), 512):
                 for j in range(0, len(others), 2048):
                     a, b = own[i : i + 512], others[j : j + 2048]
                     x, y = np.nonzero(unit[a] @ unit[b].T >= threshold - 1e-9)
                     x, y = a[x], b[y]
-                    # exact: the same sum for either order of a pair, whatever else stands in the tile
-                    ok = (key[x] != key[y]) & (label[x] == label[y])
+                    ok = key[x] != key[y]
                     x, y = x[ok], y[ok]
+                    # exact: the same sum for either order of a pair, whatever else stands in the tile
                     ok = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
                     x, y = x[ok], y[ok]
                     ok = first_meeting(places[x], places[y], table_no, key[x], key[y])
@@ -218,7 +249,10 @@ def near_duplicates(
     None) and their cosine is `threshold` or more; vectors that are null, zero or
     hold null or non-finite components, and vectors of different sizes, link with
     nothing. n_links counts rows, repeated ones too. Rows with a null id link like
-    others; a component without ids has the id null and keeps nothing."""
+    others; a component without ids has the id null and keeps nothing. An empty table
+    gives no rows. Only the named columns are read, so others may have any names."""
+    if not 1 <= tables <= 64:
+        raise ValueError("one to 64 tables")
     base = vectors.select(
         F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"),
         (F.col(label_col) if label_col else F.lit(0)).cast("bigint").alias("label"),
@@ -234,13 +268,14 @@ def near_duplicates(
     distinct = marked.where("mark is not null").groupBy("mark").agg(
         F.count(F.lit(1)).alias("weight"), F.min("id").alias("low"), F.first("label").alias("label"), F.first("vector").alias("vector")
     )
-    # a 60-bit key from the digest; two vectors that shared it would show as a clash of marks below
-    distinct = cut(distinct.withColumn("key", F.conv(F.substring("mark", 1, 15), 16, 10).cast("bigint")))
+    # numbered as they lie in the checkpoint, so that no two vectors share a key
+    distinct = cut(cut(distinct).withColumn("key", F.monotonically_increasing_id()))
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = "bucket bigint, home boolean, table_no int, key_id bigint, weight bigint, label bigint, places binary, vector binary"
-    spread = distinct.select("key", "weight", "label", "vector").mapInArrow(_spread(tables, hashes, probes), schema)
-    found = cut(tiled(spread, TILE, "key_id", parts).mapInArrow(_compare(threshold, tables, probes), "a bigint, b bigint, n bigint"))
+    schema = "key_id bigint, weight bigint, label bigint, places binary, vector binary"
+    hashed = cut(distinct.select("key", "weight", "label", "vector").mapInArrow(_hashed(tables, hashes, probes), schema))
+    spread = hashed.mapInArrow(_spread(tables, hashes, probes), f"bucket bigint, home boolean, {schema}")
+    found = cut(tiled(spread, TILE, "key_id", parts).mapInArrow(_compare(threshold, tables, hashes, probes), "a bigint, b bigint, n bigint"))
     sums = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
     roots = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "key")
     known = distinct.select("mark", "key", "weight", "low").join(roots, "key", "left").join(sums, "key", "left")
@@ -255,4 +290,5 @@ def near_duplicates(
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of `embeddings`; nulls, repeats and empty tables as in `near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))

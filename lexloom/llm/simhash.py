@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Forest, arrow_map, connected_components, cut, rows, table
+from lexloom.llm.common import Forest, arrow_map, connected_components, cut, fresh, named, rows, table
 
 SEED = 42
 THRESHOLD = 3
@@ -48,14 +48,15 @@ def fingerprint(data: bytes | None, width: int = 3) -> int:
     return int(np.packbits(votes * 2 > len(shingles), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp bigint) of every row of `docs`, repeated rows included."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp bigint, and the bigint columns `also`) of every row of `docs`, repeated rows included."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"id": batch.column(0), "fp": [fingerprint(x, width) for x in rows(batch, "data")]}
+        more = {c: batch.column(batch.schema.get_field_index(c)) for c in also}
+        return {"id": batch.column(0), "fp": [fingerprint(x, width) for x in rows(batch, "data")]} | more
 
-    thin = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("data"))
-    return arrow_map(thin, run, "id bigint, fp bigint")
+    thin = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("data"), *also)
+    return arrow_map(thin, run, ", ".join(["id bigint", "fp bigint", *(f"{c} bigint" for c in also)]))
 
 
 @lru_cache(1)
@@ -141,6 +142,13 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, tile: int = TILE) -> Da
     return tiled(near, tile, "fp", parts).mapInArrow(compare, "a bigint, b bigint")
 
 
+def rooted(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(fp, root): for each distinct fingerprint of `prints` the smallest one that links of `threshold` bits or fewer reach."""
+    distinct = cut(prints.select("fp").distinct())
+    roots = connected_components(links(distinct, threshold)).withColumnRenamed("node", "fp")
+    return cut(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, width: int = 3
 ) -> DataFrame:
@@ -152,29 +160,50 @@ def near_duplicates(
     by the ids of their component, null if it has none. An empty table gives no
     rows. Only the two named columns are read."""
     prints = cut(fingerprints(docs, id_col, text_col, width))
-    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = connected_components(links(distinct, threshold)).withColumnRenamed("node", "fp")
-    rooted = cut(distinct.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
-    lows = cut(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
-    labels = rooted.join(lows, "root").select("fp", "component_id")
+    roots = rooted(prints, threshold)
+    low = prints.groupBy("fp").agg(F.min("id").alias("low"))
+    held = cut(roots.join(low, "fp"))
+    lows = cut(held.groupBy("root").agg(F.min("low").alias("component_id")))
+    labels = held.join(lows, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each near-duplicate group: the one with the smallest id.
-
-    Rows with a null id stay, since nothing tells them apart. Rows that repeat
-    the id of a kept document come once."""
-    found = cut(near_duplicates(docs, id_col, text_col))
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    again = cut(found.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(f"n > 1 and {id_col} is not null").select(id_col))
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    if again.isEmpty():
-        return kept
-    return kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col])).select(docs.columns)
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, width: int = 3) -> DataFrame:
+    """`docs` with one row of each near-duplicate group.
+
+    The row with the smallest id stays, a null id coming last; of rows that share it the
+    one with the smallest fingerprint, then that with the smallest hash over all columns.
+    So rows are told apart by what they hold: a row that shares the id of another but not
+    its text is decided by its own group, and rows that are equal in every column count as
+    one. Null and blank texts are one group. Columns keep their names and order, whatever
+    these are; an empty table stays empty."""
+    hashable = [F.to_json(F.struct(*named(c))) if "map<" in kind or "variant" in kind else named(c)[0] for c, kind in docs.dtypes]
+    keys = dict(zip(fresh(docs, "row_key", "row_key2"), (F.xxhash64(*hashable), F.xxhash64(F.lit(1), *hashable))))
+    keyed = docs.withColumns(keys)
+    prints = cut(fingerprints(keyed, id_col, text_col, width, tuple(keys)))
+    roots = rooted(prints, threshold)
+    # the first row of each fingerprint, then of each group: minima, with partial sums where the rows are
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "fp", *keys)
+    firsts = cut(roots.join(prints.groupBy("fp").agg(F.min(rank).alias("first")), "fp"))
+    winners = cut(firsts.groupBy("root").agg(F.min("first").alias("win")).select("root", *(F.col(f"win.{k}").alias(f"{k}_win") for k in keys)))
+    labels = cut(roots.join(winners, "root").drop("root"))
+    own = F.lit(True)
+    for k in keys:
+        own = own & (F.col(k) == F.col(f"{k}_win"))
+    judged = prints.join(labels, "fp").select(*keys, own.alias("own"))
+    counted = cut(judged.groupBy(*keys).agg(F.first("own").alias("own"), F.count(F.lit(1)).alias("n")))
+    gone, again = counted.where("not own").select(*keys), counted.where("own and n > 1").select(*keys)
+    kept = keyed.join(gone, [*keys], "left_anti")
+    if not again.isEmpty():
+        once = kept.join(again, [*keys], "left_anti").select(*named(*keyed.columns))
+        kept = once.unionByName(kept.join(again, [*keys], "left_semi").select(*named(*keyed.columns)).dropDuplicates([*keys]))
+    return kept.select(*named(*docs.columns))
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row of `documents`: 3-word shingles, links of 3 bits or fewer.
+
+    Nulls, blank texts, repeated ids and an empty table as in `near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "documents"))

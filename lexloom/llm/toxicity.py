@@ -1,34 +1,38 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick over folded text.
 
 Folding lower-cases, maps homoglyphs (Cyrillic, Greek, full-width) and look-alike
-signs and digits inside words to Latin letters, so that `1d10t` reads `idiot`.
-Lexicon entries are words (bounded on both sides) or stems (bounded on the left).
-Places covered by an exception phrase don't count. The score is logistic in two
-figures: the weight of all hits over the square root of the number of words, and
-the logarithm of that weight.
+signs and digits inside words to Latin letters, so that `1d10t` reads `idiot`; what
+stands between white space is cut at other signs, and letters that stand alone or in
+twos between such cuts are put together, so that `i.d.i.o.t` reads `idiot` too. This
+is the same for chunks of every length. Lexicon entries are words (bounded on both
+sides) or stems (bounded on the left). Places covered by an exception phrase don't
+count. The score is logistic in two figures: the weight of all hits over the square
+root of the number of words, and the logarithm of that weight.
 
 Weights are log odds from a bounded sample of labelled rows (`sample`, dealt by a
-hash of the id); counting is distributed, and only entries that reach a support and
-a purity come to the driver, `entries` at most."""
+hash of the id). Counting is distributed; what comes to the driver are the entries
+that reach a support and a purity in this sample, so the sample bounds them."""
 
 from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import arrow_map, cut, rows, table
+from lexloom.llm.common import arrow_map, cut, named, rows, schema_of, table
 
 SAMPLE = 16_000
-ENTRIES = 20_000
 PREFIXES = (3, 4, 5, 6, 7)
 EXCEPTIONS = ("trash can", "trash cans", "trash bag", "trash bags", "trash bin", "idiot proof", "clown fish", "stupid simple")
 #: Words that count before anything is learned; learned weights take their place.
@@ -42,42 +46,60 @@ _SIGNS = str.maketrans("0134578@$!|", "oleastbasil")
 _LETTERS = {ord(k): v for k, v in _HOMOGLYPHS.items()} | dict.fromkeys([0x200B, 0x200C, 0x200D, 0xAD, 0x2060, 0xFEFF])
 
 
-def fold_word(word: str) -> str:
-    """A white-space separated chunk with look-alikes inside it folded and what stands around it dropped."""
-    bare = word.strip(".,;:!?\"'()[]{}<>*#%&-_/\\~`^+=…“”‘’«»—–")
-    if not bare.isalpha() or not bare.isascii():
-        if not bare.isascii():
-            bare = bare.translate(_LETTERS)
-        if not bare.isalpha() and any(c.isalpha() for c in bare):
-            if "1" in bare and not bare.isdigit():
-                # a one stands for i between consonants more often than for l
-                bare = bare.replace("1", "i")
-            bare = bare.translate(_SIGNS)
-            bare = "".join(c for c in bare if c.isalpha())
-    return bare
+#: Where a chunk is cut: signs that stand for no letter.
+_CUT = regex.compile(r"[^\p{L}\p{M}\p{N}@$!|]+")
+#: Pieces of so few letters are put together with their neighbours of the same kind.
+SPELT = 2
+FOLDS = 100_000
 
 
-class _Folds(dict):
-    """Folded words by chunk, bounded."""
+def fold_piece(piece: str) -> str:
+    """A piece of a chunk with look-alikes inside it folded; digits alone stay, signs alone go."""
+    bare = piece.strip("!")
+    if not bare.isalpha():
+        if not any(c.isalpha() for c in bare):
+            return "".join(c for c in bare if c.isalnum())
+        # a one stands for i between consonants more often than for l
+        bare = "".join(c for c in bare.replace("1", "i").translate(_SIGNS) if c.isalpha())
+    return bare
 
-    def __missing__(self, word: str) -> str:
-        if len(self) > 200_000:
-            self.clear()
-        got = self[word] = fold_word(word) if len(word) <= 64 else " ".join(fold_word(w) for w in _pieces(word))
-        return got
 
+def fold_chunk(chunk: str) -> str:
+    """The folded words of a lower-case chunk without white space, joined by a space."""
+    if chunk.isascii() and chunk.isalpha():
+        return chunk
+    words: list[str] = []
+    spelt = False  # whether the last word may go on
+    for piece in _CUT.split(chunk if chunk.isascii() else chunk.translate(_LETTERS)):
+        if word := fold_piece(piece):
+            short = len(word) <= SPELT and word.isalpha()
+            if short and spelt:
+                words[-1] += word
+            else:
+                words.append(word)
+            spelt = short
+    return " ".join(words)
 
-def _pieces(word: str) -> list[str]:
-    return "".join(c if c.isalnum() or c in "@$!|" else " " for c in word).split()
+
+class _Folds(dict):
+    """Folded words by chunk, bounded; it changes no result."""
+
+    def __missing__(self, chunk: str) -> str:
+        got = fold_chunk(chunk)
+        if len(chunk) <= 64:
+            if len(self) >= FOLDS:
+                self.clear()
+            self[chunk] = got
+        return got
 
 
 _folds = _Folds()
 
 
 def fold(text: str | None) -> tuple[str, int]:
-    """The folded words of a text, each with one space before and after, and their number."""
-    words = [w for w in map(_folds.__getitem__, text.lower().split()) if w] if text else []
-    return f" {' '.join(words)} ", len(words)
+    """The folded words of a text with one space before and after each, and their number."""
+    folded = " ".join(w for w in map(_folds.__getitem__, text.lower().split()) if w) if text else ""
+    return f" {folded} ", folded.count(" ") + 1 if folded else 0
 
 
 @dataclass
@@ -114,8 +136,9 @@ class Lexicon:
                 free.append((start, end))
             else:
                 best[start] = (size, weight)  # ends ascend: the longest comes last
-        if free:
-            best = {s: x for s, x in best.items() if not any(a <= s < b for a, b in free)}
+        if free:  # where a free phrase ends, by where it starts: of those that start before a hit the furthest end decides
+            starts, reach = [a for a, _ in sorted(free)], list(accumulate((b for _, b in sorted(free)), max))
+            best = {s: x for s, x in best.items() if not (k := bisect_right(starts, s)) or reach[k - 1] <= s}
         return sum(w for _, w in best.values()), len(best)
 
     def figures(self, text: str | None) -> tuple[float, float]:
@@ -147,15 +170,17 @@ def held_out(id_col: Column) -> Column:
 
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    sample: int = SAMPLE, entries: int = ENTRIES, support: int = 6,
+    sample: int = SAMPLE, support: int = 6,
 ) -> Lexicon:
-    """Lexicon from documents joined with `labels` (id, label), at most `sample` labelled rows.
+    """Lexicon from documents joined with `labels` (id, label), at most `sample` labelled ids.
 
-    Rows with null ids or labels, and rows that are held out, are left aside. With
-    no toxic row in the sample the seed words stay."""
+    Rows with null ids or labels, and rows that are held out, are left aside. Where an id
+    repeats, its largest label and its smallest text count. With no toxic row in the
+    sample, an empty table among them, the seed words stay."""
     usable = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    chosen = usable.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows_ = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    chosen = usable.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows_ = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows_ = rows_.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     rows_ = cut(rows_.select("text", "label").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +215,7 @@ def learn(
     # chance alone gives rare entries to few toxic documents, but hardly ever twice to each of them
     enough = (F.col("t") >= support) | (F.col("t2") >= (support + 1) // 2)
     pure = counted.where(enough & (F.col("c") * 20 <= F.col("t"))).withColumn("w", odds)
-    best = pure.orderBy(F.desc("t"), "f").limit(entries).select("f", "w").collect()
-    weights = {r[0]: float(r[1]) for r in best}
+    weights = {r[0]: float(r[1]) for r in pure.select("f", "w").orderBy("f").collect()}
     # A word or longer stem below a stem says nothing more.
     stems = {f for f in weights if not f.endswith(" ")}
     weights = {f: w for f, w in weights.items() if not any(f[:i] in stems for i in range(2, len(f)))}
@@ -224,23 +248,41 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold:
     """`docs` with `score` (0 to 1) and `predicted` (1 from `threshold`); one narrow pass.
 
     Null, empty and wordless texts score as texts without hits; repeated rows are
-    scored each; a column of the same name is replaced."""
+    scored each; a column named like a new one is replaced; an empty table stays empty."""
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batch: pa.RecordBatch) -> dict:
         return {"row": batch.column(0), "score": [shared.value.score(t) for t in rows(batch, "body")]}
 
-    body = docs.select(F.struct(*kept).alias("row") if kept else F.struct(F.lit(0)).alias("row"), F.col(text_col).alias("body"))
-    found = arrow_map(body, run, f"row {body.schema['row'].dataType.simpleString()}, score double")
+    body = docs.select(F.struct(*named(*kept)).alias("row") if kept else F.struct(F.lit(0)).alias("row"), F.col(text_col).alias("body"))
+    found = arrow_map(body, run, schema_of("score double", row=body.schema["row"].dataType))
     return found.select("row.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs` whose score lies below `threshold`, with all their columns, whatever these are called; one narrow pass.
+
+    Null, empty and wordless texts score as texts without hits; repeated rows are judged each."""
+    row = F.struct(*named(*docs.columns)).alias("row")
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"row": batch.column(0), "score": [shared.value.score(t) for t in rows(batch, "body")]}
+
+    body = docs.select(row, F.col(text_col).alias("body"))
+    found = arrow_map(body, run, schema_of("score double", row=body.schema["row"].dataType))
+    return found.where(F.col("score") < threshold).select("row.*")
+
+
 def train(spark: SparkSession, sf_dir: str, **options) -> Lexicon:
     return learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), **options)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of `documents`; the lexicon is learned from rows that are not held out.
+
+    Null, empty and wordless texts score as texts without hits; repeated ids give a row each; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = train(spark, sf_dir)
     shared = spark.sparkContext.broadcast(lexicon)

@@ -1,17 +1,22 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or ceil(|T| / t) words that follow one another over line ends, for a
-template T of |T| words and threshold t: so a notice wrapped at any width is found. A
-block matches T if it holds at least need = ceil(t n) of T's n distinct tokens. Tokens of
-the templates are put in one global order, rarest in the corpus first. A text can only
-hold a match if it has one of the first n - need + 1 tokens of T in this order (prefix
-filter) and `need` of T's tokens anywhere. Blocks of the texts that are left must hold a
-prefix token, `need` words (length filter), and from the first common token on enough
-tokens (positional filter). What remains is verified by the exact overlap.
-
-Everything is DataFrame functions over literal template arrays; `templates` has
-`MOST_TEMPLATES` entries at most, which bounds the literals. One scan counts the
-template tokens, a second scans the texts; neither shuffles any text."""
+A block is any run of ceil(|T| / t) words of a text, over line ends too, for a template
+T of |T| words and threshold t; so a notice wrapped at any width is found. A block
+matches T if it holds at least need = ceil(t n) of T's n distinct tokens. The join finds
+every match:
+
+* Tokens of the templates stand in one global order, rarest in the corpus first. A block
+  that matches T holds one of the first n - need + 1 tokens of T in this order, so only
+  these are indexed (prefix filter): texts without one are left at the first scan, the
+  others join the index by token, which gives pairs of text and template.
+* Of each pair the places of T's tokens are gathered. The block at a place must hold
+  `need` places (length filter), and its first token in the global order bounds what
+  can follow it on either side (positional filter).
+* What remains is verified by the exact overlap.
+
+Everything is DataFrame functions. The index has a row for each token of each template;
+it is broadcast up to `MOST_BROADCAST` rows and joined by a shuffle beyond, so templates
+may be many. Texts are not shuffled; places of template tokens in likely texts are."""
 
 from __future__ import annotations
 
@@ -21,29 +26,37 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import LOWER, UPPER, table, words_column
+from lexloom.llm.common import LOWER, UPPER, cut, table, words_column
 
 THRESHOLD = 0.8
-MOST_TEMPLATES = 1000
+MOST_BROADCAST = 200_000
 #: Phrases whose words must follow one another, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Notices, by label.
+#: Openings and notices of public licenses, by label.
 TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
+    "agpl-3.0": "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License",
+    "apache-notice": "Licensed under the Apache License, Version 2.0",
+    "boost-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
-    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0",
-    "cc0-1.0": "To the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "cc-by-nc-4.0": "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License",
+    "cc-by-sa-4.0": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-notice": "Licensed under CC BY-NC 4.0",
+    "cc0-1.0": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "gpl": "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "gpl-notice": "This work is licensed under the GNU General Public License, version 3",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl": "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
     "mit-notice": "Released under the MIT License",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "proprietary": "All rights reserved. No part of this publication may be reproduced, distributed or transmitted in any form without prior written permission",
+    "unlicense": "This is free and unencumbered software released into the public domain",
 }
 _SPLIT = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_BLOCKS = "array<struct<word:int,label:string,part:double>>"
 
 
 def tokens(text: str) -> list[str]:
@@ -51,44 +64,29 @@ def tokens(text: str) -> list[str]:
     return [w for w in _SPLIT.split(text.translate(str.maketrans(UPPER, LOWER))) if w]
 
 
-def _frequencies(docs: DataFrame, text_col: str, vocabulary: list[str]) -> dict[str, int]:
-    """How many texts hold each template token; at most one row for each token comes back."""
-    present = F.array_intersect(words_column(F.col(text_col)), F.array(*map(F.lit, vocabulary)))
-    counted = docs.select(F.explode(present).alias("w")).groupBy("w").count()
-    return {r["w"]: r["count"] for r in counted.collect()}
+def need_of(n: int, threshold: float) -> int:
+    return math.ceil(threshold * n - 1e-9)
 
 
-def _held(block: Column, ordered: list[str], need: int) -> Column:
-    """How many of a template's distinct tokens the words of a block hold; null if fewer than `need`."""
-    prefix = F.array(*map(F.lit, ordered[: len(ordered) - need + 1]))
-    whole = F.array(*map(F.lit, ordered))
-    # the block's tokens of this template, in the global order
-    common = F.array_intersect(whole, block)
-    # position of the first common token in the template: what follows it bounds the overlap
-    left = F.lit(len(ordered) + 1) - F.array_position(whole, F.get(common, F.lit(0)))
-    passes = F.arrays_overlap(block, prefix) & (F.size(block) >= need) & (F.coalesce(left, F.lit(0)) >= need)
-    return F.when(passes & (F.size(common) >= need), F.size(common))
+def window_of(n_words: int, threshold: float) -> int:
+    return math.ceil(n_words / threshold - 1e-9)
 
 
-def _blocks(label: str, ordered: list[str], need: int, window: int) -> Column:
-    """array<struct<line, label, part>> of the lines in which a match of one template begins, over `_words`, `_line` and `_starts`."""
-    held = lambda begin, n: _held(F.slice("_words", begin + 1, n), ordered, need)
+def _literal(words: list[str]) -> Column:
+    """One array literal, whatever its length; words hold no space."""
+    return F.split(F.lit(" ".join(words)), " ") if words else F.array().cast("array<string>")
 
-    def best(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get("_starts", k + 1), F.size("_words"))
 
-        def over(begin: Column) -> Column:
-            # what the words after the line hold by themselves belongs to a later line
-            found, later = held(begin, F.lit(window)), held(end, begin + window - end)
-            return F.when(found > F.coalesce(later, F.lit(0)), found)
+def _near(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= MOST_BROADCAST else df
 
-        begins = F.sequence(F.greatest(start, end - max(window - 1, 1)), end - 1)
-        over_ends = F.array_max(F.transform(begins, over))
-        return F.struct(F.get("_line", start).alias("line"), F.greatest(held(start, end - start), over_ends).alias("held"))
 
-    found = F.filter(F.transform("_starts", best), lambda x: x["held"].isNotNull())
-    part = lambda x: (x["held"] / F.lit(float(len(ordered)))).alias("part")
-    return F.transform(found, lambda x: F.struct(x["line"].alias("line"), F.lit(label).alias("label"), part(x)))
+def _ordered(words: DataFrame, templates: dict[str, str]) -> list[str]:
+    """The templates' tokens, rarest first by the number of texts that hold them; at most one row for each comes back."""
+    vocabulary = sorted({w for t in templates.values() for w in tokens(t)})
+    present = F.array_intersect(F.col("_words"), _literal(vocabulary))
+    count = {r["w"]: r["count"] for r in words.select(F.explode(present).alias("w")).groupBy("w").count().collect()} if vocabulary else {}
+    return sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
 
 
 def scan(
@@ -98,68 +96,98 @@ def scan(
     """Per row of `docs`: id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
     n_base counts the places where a phrase's words stand one after the other;
-    first_word and last_word are the smallest and largest start. blocks has the number
-    of each line in which a template match begins, label and largest part contained
-    (a notice in short lines can begin in more than one); score is the largest part, 1 where a phrase stands, else 0. A null text is empty; empty texts have
-    no words and empty labels; repeated rows are scanned each. Lines end at line feeds;
-    texts and lines are taken whole; windows of words run over line ends and blank lines."""
+    first_word and last_word are the smallest and largest start. blocks has, for each
+    template and in the order of the text, matches that don't overlap: the number of the
+    word with which the block begins, the label and the part of the template's tokens it
+    holds; of blocks that overlap the fullest stays, of equal ones the first. score is the
+    largest part, 1 where a phrase stands, else 0. A null text is empty; empty texts have
+    no words and empty labels; repeated rows are scanned each, an empty table gives no
+    rows. Texts are taken whole. Only the two named columns are read."""
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates")
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies above 0 and at most at 1")
-    sets = {label: sorted(set(tokens(t))) for label, t in templates.items()}
-    vocabulary = sorted({w for ws in sets.values() for w in ws})
-    count = _frequencies(docs, text_col, vocabulary) if vocabulary else {}
-    plans = []
-    for label, ws in sets.items():
-        if ws:
-            need = math.ceil(threshold * len(ws) - 1e-9)
-            plans.append((label, sorted(ws, key=lambda w: (count.get(w, 0), w)), need, math.ceil(len(tokens(templates[label])) / threshold - 1e-9)))
-    prefixes = sorted({w for _, ordered, need, _ in plans for w in ordered[: len(ordered) - need + 1]})
-    starts = sorted({tokens(p)[-1] for p in phrases if tokens(p)})
+    templates = {label: text for label, text in templates.items() if tokens(text)}
+    spark = docs.sparkSession
+    wide = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), words_column(F.col(text_col)).alias("_words"))
+    order = {w: k for k, w in enumerate(_ordered(wide, templates))}
+    index, about, seeds = [], [], set()
+    for label, text in templates.items():
+        ranked = sorted(set(tokens(text)), key=order.get)
+        need = need_of(len(ranked), threshold)
+        about.append((label, len(ranked), need, window_of(len(tokens(text)), threshold)))
+        index += [(w, label, k + 1, k < len(ranked) - need + 1) for k, w in enumerate(ranked)]
+        seeds.update(ranked[: len(ranked) - need + 1])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = words_column(F.col(text_col))
-    wide = docs.select(F.col(id_col), text.alias("_text"), words.alias("_words"))
+    starts = sorted({tokens(p)[-1] for p in phrases if tokens(p)})
     # Phrases: only texts that hold a phrase's last word anywhere can hold the phrase.
-    may = F.arrays_overlap("_words", F.array(*map(F.lit, starts))) if starts else F.lit(False)
-    places = []
-    for phrase, label in phrases.items():
-        if tokens(phrase):
-            places.append(_places(tokens(phrase), label))
+    may = F.arrays_overlap("_words", _literal(starts)) if starts else F.lit(False)
+    places = [_places(tokens(phrase), label) for phrase, label in phrases.items() if tokens(phrase)]
     none = F.array().cast("array<struct<at:bigint,label:string>>")
     found = F.when(may & (F.size("_words") > 0), F.concat(*places)).otherwise(none) if places else none
-    # Blocks: only in texts that hold a prefix token of any template and enough tokens of one.
-    nothing = F.array().cast("array<struct<line:int,label:string,part:double>>")
-    blocks = nothing
-    if plans:
-        seeds = F.array(*map(F.lit, prefixes))
-        present = F.array_intersect(F.array(*map(F.lit, vocabulary)), "_words")
-        wide = wide.withColumn("_present", F.when(F.arrays_overlap("_words", seeds), present).otherwise(F.array().cast("array<string>")))
-        fits = [F.size(F.array_intersect(F.array(*map(F.lit, ordered)), "_present")) >= need for _, ordered, need, _ in plans]
-        wide = wide.withColumn("_fits", F.array(*fits))
-        # the line number of each word, and the words at which lines begin
-        line_of = F.flatten(F.transform(F.split("_text", "\n"), lambda s, k: F.array_repeat(k, F.size(words_column(s)))))
-        wide = wide.withColumn("_line", F.when(F.array_contains("_fits", True), line_of).otherwise(F.array().cast("array<int>")))
-        first = F.filter(F.sequence(F.lit(0), F.size("_line") - 1), lambda p: (p == 0) | (F.get("_line", p) != F.get("_line", p - 1)))
-        wide = wide.withColumn("_starts", F.when(F.size("_line") > 0, first).otherwise(F.array().cast("array<int>")))
-        blocks = F.concat(*(F.when(F.get("_fits", F.lit(k)), _blocks(*plan)).otherwise(nothing) for k, plan in enumerate(plans)))
-    wide = wide.select(id_col, F.size("_words").cast("bigint").alias("n_words"), found.alias("_found"), blocks.alias("blocks"))
+    # Blocks: only texts that hold a token of some template's prefix can hold one.
+    likely = F.when(F.arrays_overlap("_words", _literal(sorted(seeds))), F.col("_text")) if seeds else F.lit(None).cast("string")
+    base = wide.select("_id", F.size("_words").cast("bigint").alias("n_words"), found.alias("_found"), likely.alias("_likely"))
+    # numbered in the checkpoint, where rows have their places for good
+    base = cut(base).withColumn("_key", F.monotonically_increasing_id())
+    if templates:
+        blocks = _blocks(spark, base.where("_likely is not null").select("_key", "_likely"), index, about)
+        base = base.drop("_likely").join(blocks, "_key", "left").withColumn("blocks", F.coalesce("blocks", F.array().cast(_BLOCKS)))
+    else:
+        base = base.withColumn("blocks", F.array().cast(_BLOCKS))
     at = F.transform("_found", lambda x: x["at"])
-    base = F.array_sort(F.array_distinct(F.transform("_found", lambda x: x["label"])))
+    labels = F.array_sort(F.array_distinct(F.transform("_found", lambda x: x["label"])))
     more = F.transform("blocks", lambda x: x["label"])
     part = F.coalesce(F.array_max(F.transform("blocks", lambda x: x["part"])), F.lit(0.0))
-    return wide.select(
-        id_col, "n_words", F.size("_found").cast("bigint").alias("n_base"),
+    return base.select(
+        F.col("_id").alias(id_col), "n_words", F.size("_found").cast("bigint").alias("n_base"),
         F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
-        F.array_join(base, ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
+        F.array_join(labels, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(labels, more)), ",").alias("labels"),
         F.when(F.size("_found") > 0, F.lit(1.0)).otherwise(part).alias("score"), "blocks",
     )
 
 
+def _blocks(spark: SparkSession, likely: DataFrame, index: list[tuple[str, str, int, bool]], about: list[tuple[str, int, int, int]]) -> DataFrame:
+    """(_key, blocks) of the texts `likely` (_key, _likely) that match a template."""
+    postings = spark.createDataFrame(index, "token string, label string, rank int, prefix boolean")
+    sizes = spark.createDataFrame(about, "label string, n int, need int, span int")
+    vocabulary = postings.select("token").distinct()
+    words = likely.select("_key", F.posexplode(words_column(F.col("_likely"))).alias("pos", "token"))
+    hits = cut(words.join(_near(vocabulary, len(index)), "token", "left_semi"))
+    # prefix filter: pairs of a text and a template that share a token of the template's prefix
+    pairs = hits.join(_near(postings.where("prefix").select("token", "label"), len(index)), "token").select("_key", "label").distinct()
+    # all places of the template's tokens in the texts of these pairs
+    own = pairs.join(hits, "_key").join(_near(postings.select("token", "label", "rank"), len(index)), ["token", "label"])
+    placed = own.groupBy("_key", "label").agg(F.array_sort(F.collect_list(F.struct("pos", "rank"))).alias("at"), F.size(F.collect_set("rank")).alias("held"))
+    placed = placed.join(_near(sizes, len(about)), "label").where("held >= need")
+
+    def best(k: Column) -> Column:
+        """How many distinct tokens the block holds that begins at the k-th place; null if a filter drops it."""
+        begin = F.get("at", k)["pos"]
+        inside = F.filter(F.slice("at", k + 1, F.col("span")), lambda x: x["pos"] < begin + F.col("span"))
+        long_enough = F.get("at", k + F.col("need") - 1)["pos"] < begin + F.col("span")
+        first = F.array_min(F.transform(inside, lambda x: x["rank"]))
+        most = F.least(F.col("n") - first, F.size(inside) - 1) + 1
+        held = F.size(F.array_distinct(F.transform(inside, lambda x: x["rank"])))
+        return F.when(long_enough, F.when(most >= F.col("need"), F.when(held >= F.col("need"), held)))
+
+    begins = F.sequence(F.lit(0), F.size("at") - F.col("need"))
+    each = F.transform(begins, lambda k: F.struct(F.get("at", k)["pos"].alias("word"), best(k).alias("held")))
+    full = F.filter(each, lambda x: x["held"].isNotNull())
+
+    def apart(kept: Column, x: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        fuller = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(x))
+        clear = last.isNull() | (x["word"] >= last["word"] + F.col("span"))
+        return F.when(clear, F.concat(kept, F.array(x))).when(x["held"] > last["held"], fuller).otherwise(kept)
+
+    matched = placed.withColumn("full", full).where(F.size("full") > 0)
+    chosen = F.aggregate("full", F.array().cast("array<struct<word:int,held:int>>"), apart)
+    listed = F.transform(chosen, lambda x: F.struct(x["word"].alias("word"), F.col("label").alias("label"), (x["held"] / F.col("n").cast("double")).alias("part")))
+    return matched.select("_key", F.explode(listed).alias("b")).groupBy("_key").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
+
+
 def _places(ws: list[str], label: str) -> Column:
     """array<struct<at, label>> of the places in `_words` where the words `ws` stand one after the other."""
     span = F.sequence(F.lit(0), F.size("_words") - 1)
@@ -175,27 +203,29 @@ def _all(conditions) -> Column:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`scan` of every row of `documents` by the registered phrases and templates, without its blocks; nulls, repeats and empty tables as there."""
     return scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL for `op2_license_scan`: every line against every template, without filters."""
+    """DuckDB SQL for `op2_license_scan`: every block that begins with a template's token against every template, without filters."""
     word = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
-    words = lambda t: f"list_filter(regexp_split_to_array(translate(coalesce({t}, ''), '{UPPER}', '{LOWER}'), {word}), lambda w: w <> '')"
+    words = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {word}), lambda w: w <> '')"
     n = "len(words)"
     starts = []
     for phrase, label in PHRASES.items():
         test = " AND ".join(f"words[i + {k + 1}] = '{w}'" for k, w in enumerate(tokens(phrase)))
         starts.append(f"list_transform(list_filter(range({n}), lambda i: {test}), lambda i: {{'at': i, 'label': '{label}'}})")
-    values = ", ".join(f"('{label}', {sorted(set(tokens(t)))!r})" for label, t in TEMPLATES.items())
+    values = ", ".join(f"('{label}', {sorted(set(tokens(t)))!r}, {window_of(len(tokens(t)), THRESHOLD)})" for label, t in TEMPLATES.items())
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, {words('text')} AS words FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS words FROM documents),
 f AS (SELECT r, doc_id, {n} AS n_words, list_concat(list_concat({starts[0]}, {starts[1]}), {starts[2]}) AS found FROM d),
-t(label, ws) AS (VALUES {values}),
-b AS (SELECT DISTINCT r, line, label, len(list_intersect(ws, line)) / len(ws)::DOUBLE AS part, len(ws) AS n
-      FROM (SELECT r, unnest(list_transform(string_split(text, chr(10)), lambda s: {words('s')})) AS line FROM d), t
-      WHERE len(list_intersect(ws, line)) >= ceil({THRESHOLD} * len(ws) - 1e-9)),
-m AS (SELECT r, list(label) AS more, max(part) AS part FROM b GROUP BY r)
+t(label, ws, span) AS (VALUES {values}),
+p AS (SELECT label, unnest(ws) AS w, len(ws) AS n, span FROM t),
+h AS MATERIALIZED (SELECT r, i, label, p.w, n, span FROM (SELECT r, unnest(range({n})) AS i, unnest(words) AS w FROM d) JOIN p USING (w)),
+b AS (SELECT a.r, a.label, count(DISTINCT b.w) / a.n::DOUBLE AS part FROM h a JOIN h b ON a.r = b.r AND a.label = b.label AND b.i >= a.i AND b.i < a.i + a.span
+      GROUP BY a.r, a.label, a.i, a.n HAVING count(DISTINCT b.w) >= ceil({THRESHOLD} * a.n - 1e-9)),
+m AS (SELECT r, list(DISTINCT label) AS more, max(part) AS part FROM b GROUP BY r)
 SELECT doc_id, n_words, len(found) AS n_base, list_min(list_transform(found, lambda x: x.at)) AS first_word,
   list_max(list_transform(found, lambda x: x.at)) AS last_word,
   coalesce(array_to_string(list_sort(list_distinct(list_transform(found, lambda x: x.label))), ','), '') AS base_labels,

@@ -25,6 +25,7 @@ from lexloom.llm.common import cut, remove, rows, shared_dir, table
 
 LEAST_SHARED = 100
 SALT = 32
+MOST_BROADCAST = 200_000
 SEGMENT = 2048
 RECORDS_PER_FILE = 20_000
 MAGIC = "WARC/1."
@@ -38,13 +39,14 @@ def _urn(page: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(">"))
 
 
-def roles(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = LEAST_SHARED) -> DataFrame:
+def roles(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = LEAST_SHARED, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """`pages` as (page_id, url, payload, digest, first): first is the page that a revisit refers to, else null.
 
     Of equal payloads the smallest id is the response; rows that share it are all
-    responses, rows with a null id are revisits where another has an id. Groups of
-    equal payloads are aggregated to (digest, smallest id) and joined back under a
-    salt, so that no payload's copies meet in one task."""
+    responses, rows with a null id are revisits where another has an id. Groups of equal
+    payloads are aggregated to (digest, smallest id), which moves no payload. Up to
+    `most_broadcast` of these groups (some 100 bytes each) are broadcast to the pages;
+    more are joined by a shuffle under a salt, so that no payload's copies meet in one task."""
     text = F.coalesce(F.col(payload_col), F.lit(""))
     url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
     base = pages.select(
@@ -52,9 +54,13 @@ def roles(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html",
         F.sha2(text.cast("binary"), 256).alias("digest"), F.octet_length(text).cast("bigint").alias("size"),
     )
     shared = base.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("low"), F.count(F.lit(1)).alias("n"))
-    shared = shared.where("n > 1 and low is not null").select("digest", "low", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    salted = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
-    joined = salted.join(cut(shared), ["digest", "salt"], "left")
+    shared = cut(shared.where("n > 1 and low is not null").select("digest", "low"))
+    if shared.count() <= most_broadcast:
+        joined = base.join(F.broadcast(shared), "digest", "left")
+    else:
+        salts = shared.select("digest", "low", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        salted = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
+        joined = salted.join(salts, ["digest", "salt"], "left")
     other = F.when(~F.col("page_id").eqNullSafe(F.col("low")), F.col("low"))
     return joined.select("page_id", "url", "payload", "digest", "size", other.alias("first"))
 
@@ -289,6 +295,9 @@ def _pieced(known: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every row of `pages`, written, read back and digested; the archives are removed.
+
+    A null html is an empty payload; rows that share a page_id give a record each; an empty table gives no rows."""
     path = shared_dir(spark)
     write(table(spark, sf_dir, "pages"), path)
     found = cut(read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"))

@@ -1,7 +1,9 @@
 """Each operator against a brute-force version on small tables that hold nulls, empty and long texts, ties, repeated rows
 and columns whose names clash with those of results."""
 
+import datetime
 import hashlib
+import json
 import math
 import os
 import re
@@ -16,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexloom.llm import bpe, chat, decontaminate, embeddings, licenses, simhash, store, toxicity, urls, warc
+from lexloom.llm import bpe, chat, decontaminate, embeddings, licenses, simhash, store, tiles, toxicity, urls, warc
 from lexloom.llm.common import connected_components, shared_dir
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, data string, score double"
@@ -103,7 +105,37 @@ def test_simhash_edges(frame):
     got = simhash.near_duplicates(repeated).collect()
     assert [r.component_id for r in got] == [5, 5, 5]
     kept = simhash.keep_first(repeated)
-    assert kept.columns == repeated.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["5", "None"]
+    assert kept.columns == repeated.columns and [r.doc_id for r in kept.collect()] == [5]
+
+
+def test_keep_first_decides_by_row(frame):
+    """One row of each group stays, whatever ids repeat; a row that is alone is never lost."""
+    long = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcd"]
+    rows = [(1, long[0], 7), (5, long[0], 7), (5, long[1], 7), (6, long[2], 7), (6, long[3], 7), (6, long[3], 7), (None, long[0], 7), (None, None, 7), (9, "", 7), (9, " ", 8)]
+    df = frame(rows, "id bigint, fp string, row_key int").withColumnRenamed("fp", "text")
+    kept = simhash.keep_first(df, "id", "text")
+    assert kept.columns == df.columns
+    got = sorted((str(r.id), r.text) for r in kept.collect())
+    # of null and blank texts, which are one group, id 9 stays: of its two rows the one with the smaller hash
+    assert [x for x in got if x[0] != "9"] == sorted([("1", long[0]), ("5", long[1]), ("6", long[2]), ("6", long[3])])
+    assert len(got) == 5 and [x for x in got if x[0] == "9"][0][1] in ("", " ")
+    assert sorted((str(r.id), r.text) for r in simhash.keep_first(df.orderBy(F.desc("text")).repartition(3), "id", "text").collect()) == got
+    nested = df.withColumn("more", F.create_map(F.lit("k"), F.col("text"))).withColumn("a.b", F.lit(1))
+    assert simhash.keep_first(nested, "id", "text").columns == nested.columns and simhash.keep_first(nested, "id", "text").count() == 5
+    assert simhash.keep_first(df.limit(0), "id", "text").collect() == []
+
+
+def test_large_buckets_are_cut_by_all_their_rows(spark):
+    """No tile holds more than a share of a bucket, home rows or not, and every home row still meets every row."""
+    rows = [(1, i < 3, i) for i in range(400)] + [(2, i < 300, 1000 + i) for i in range(320)] + [(3, False, 2000 + i) for i in range(500)] + [(4, True, 3000), (4, False, 3001)]
+    df = spark.createDataFrame(rows, "bucket bigint, home boolean, n bigint")
+    out = tiles.tiled(df, 10, "n", 4).collect()
+    cells = {}
+    for r in out:
+        cells.setdefault((r.key, r.bucket), []).append(r)
+    assert max(map(len, cells.values())) < 10 * (1 + tiles.WIDE) * 4 and 3 not in {r.bucket for r in out}
+    met = {(a.n, b.n) for cell in cells.values() for a in cell if a.kind & 1 for b in cell if b.kind & 2}
+    assert met == {(a[2], b[2]) for a in rows if a[1] for b in rows if b[0] == a[0]}
 
 
 def test_components_of_a_long_path_and_a_hub(frame):
@@ -115,58 +147,92 @@ def test_components_of_a_long_path_and_a_hub(frame):
 # 2 Licenses
 
 
+def plain_blocks(text, templates, threshold=licenses.THRESHOLD):
+    """Labels and largest parts by every block of every template, without a filter."""
+    words, out = licenses.tokens(text or ""), {}
+    for label, template in templates.items():
+        whole, span = set(licenses.tokens(template)), licenses.window_of(len(licenses.tokens(template)), threshold)
+        held = max((len(whole & set(words[k : k + span])) for k in range(len(words))), default=0)
+        if whole and held >= licenses.need_of(len(whole), threshold):
+            out[label] = held / len(whole)
+    return out
+
+
+def plain_phrases(text):
+    words = licenses.tokens(text or "")
+    found = []
+    for phrase, label in licenses.PHRASES.items():
+        ws = phrase.split()
+        found += [(k, label) for k in range(len(words)) if words[k : k + len(ws)] == ws]
+    return sorted(found)
+
+
+def check_scan(got, texts, templates):
+    for i, text in enumerate(texts):
+        r, base, more = got[i], plain_phrases(text), plain_blocks(text, templates)
+        assert (r.n_words, r.n_base) == (len(licenses.tokens(text or "")), len(base)), text
+        assert (r.first_word, r.last_word) == ((base[0][0], base[-1][0]) if base else (None, None)), text
+        assert r.base_labels == ",".join(sorted({x for _, x in base})), text
+        assert r.labels == ",".join(sorted({x for _, x in base} | set(more))), text
+        assert r.score == (1.0 if base else max(more.values(), default=0.0)), text
+        assert {b.label: max(x.part for x in r.blocks if x.label == b.label) for b in r.blocks} == more, text
+
+
 def test_license_scan(frame):
     texts = [
         None, "", "Released under the MIT License.", "mit LICENSE mit license", "mit\nlicense", "x\nLicensed under the Apache License, Version 2.0.\ny",
         "GNU General Public License, version 3; this work is licensed under the", "Licensed under CC BY-NC 4.0", "license " * 20000, "apache licensé",
+        "under the mit filler filler filler filler license released", "Released filler under filler the MIT License",
     ]
     got = {r.doc_id: r for r in licenses.scan(docs_of(frame, texts)).collect()}
     assert (got[0].n_words, got[0].labels, got[0].score, got[0].first_word) == (0, "", 0.0, None)
-    assert (got[3].n_base, got[3].first_word, got[3].last_word, got[3].base_labels) == (2, 0, 2, "mit")
-    assert got[4].n_base == 1 and got[9].n_base == 0
-    assert got[2].labels == "mit,mit-notice" and "apache-2.0" in got[5].labels and "gpl-3.0" in got[6].labels
-    assert "cc-by-nc-4.0" in got[7].labels and got[7].base_labels == "" and got[8].n_words == 20000
-    for i, text in enumerate(texts):  # every line against every template, without a filter
-        want = set(got[i].base_labels.split(",")) - {""}
-        for line in (text or "").split("\n"):
-            for label, template in licenses.TEMPLATES.items():
-                tokens = set(licenses.tokens(template))
-                if len(tokens & set(licenses.tokens(line))) >= licenses.THRESHOLD * len(tokens) - 1e-9:
-                    want.add(label)
-        assert got[i].labels == ",".join(sorted(want)), text
+    assert got[2].labels == "mit,mit-notice" and "apache-notice" in got[5].labels and "gpl-notice" in got[6].labels and got[7].labels == "cc-notice"
+    check_scan(got, texts, licenses.TEMPLATES)
     assert licenses.scan(docs_of(frame, [])).collect() == []
-    assert licenses.scan(docs_of(frame, ["mit license"]), phrases={}, templates={}).first().labels == ""
+    bare = licenses.scan(docs_of(frame, ["mit license", None]), phrases={}, templates={"none": " . "}).collect()
+    assert [(r.labels, r.n_base, r.blocks) for r in bare] == [("", 0, [])] * 2
+    assert [(b.word, b.label, b.part) for b in got[2].blocks] == [(0, "mit-notice", 1.0)]
 
 
 def test_license_scan_reads_wrapped_notices(frame):
     templates = licenses.TEMPLATES
     texts, holds = [], []
-    for label in ("mit-text", "bsd", "mpl-2.0", "apache-2.0"):
+    for label in ("mit-text", "bsd", "mpl-2.0", "apache-2.0", "isc", "gpl"):
         for width in (15, 40, 72, 80):
-            for mark in ("", "// ", " * ", "\t"):
+            for mark in ("", "// ", " * "):
                 lines = textwrap.wrap(templates[label] + ". More words stand on the last line, as they do in most files", width)
                 texts.append("Ein Satz davor\n\n" + "\n".join(mark + line for line in lines) + "\n\ntext after it")
                 holds.append(label)
     notice = textwrap.fill(templates["mit-text"], 72)
-    texts += [notice.replace("\n", "\r\n\r\n"), "\n".join([notice] * 50), "\n".join(["word " * 25] * 20 + notice.split("\n", 1)[:1] + ["word " * 25] + notice.split("\n", 1)[1:])]
+    texts += [notice.replace("\n", "\r\n\r\n"), "\n".join([notice] * 50), "\n".join(["word " * 25, notice[:60], "word " * 25, notice[60:]])]
     got = {r.doc_id: r for r in licenses.scan(docs_of(frame, texts)).collect()}
-    for i, label in enumerate(holds):
-        assert label in got[i].labels.split(",") and got[i].score == 1.0, texts[i]
-    assert [(b.line, b.label, b.part) for b in got[8].blocks] == [(2, "mit-text", 1.0)]
-    n = len(holds)
-    assert got[n].labels == "mit-text" and [b.line for b in got[n].blocks] == [0] and got[n + 2].labels == ""
-    assert {b.line for b in got[n + 1].blocks} >= set(range(0, 100, 2))
-    for i, text in enumerate(texts):  # every line and every window of words against every template, without a filter
-        words, want, part = licenses.tokens(text), set(got[i].base_labels.split(",")) - {""}, 0.0
-        for label, template in templates.items():
-            whole, window = set(licenses.tokens(template)), math.ceil(len(licenses.tokens(template)) / licenses.THRESHOLD - 1e-9)
-            blocks = [licenses.tokens(line) for line in text.split("\n")] + [words[k : k + window] for k in range(len(words))]
-            held = max(len(whole & set(b)) for b in blocks)
-            if held >= licenses.THRESHOLD * len(whole) - 1e-9:
-                want.add(label)
-                part = max(part, held / len(whole))
-        assert got[i].labels == ",".join(sorted(want)), text
-        assert got[i].score == (1.0 if got[i].base_labels else part), text
+    check_scan(got, texts, templates)
+    assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, label in enumerate(holds))
+    n, size = len(holds), len(licenses.tokens(templates["mit-text"]))
+    whole = [b.word for b in got[n + 1].blocks if b.label == "mit-text"]
+    assert len(whole) >= 40 and all(b - a >= size for a, b in zip(whole, whole[1:]))
+
+
+def test_license_scan_with_a_thousand_templates(frame, monkeypatch):
+    rng = np.random.default_rng(11)
+    common, rare = [f"c{k}" for k in range(30)], [f"r{k}" for k in range(3000)]
+    templates = {f"t{k}": " ".join([*rng.choice(common, 6), *rng.choice(rare, 6)]) for k in range(1000)}
+    texts = [None, " ".join(rng.choice(common, 400))]
+    for k in range(40):
+        words = templates[f"t{rng.integers(1000)}"].split()
+        for _ in range(int(rng.integers(0, 5))):
+            words.insert(int(rng.integers(len(words))), str(rng.choice(common)))
+        if k % 3 == 0:
+            words = [str(w) for w in rng.permutation(words)][: int(rng.integers(7, 14))]
+        texts.append(" ".join([*rng.choice(common, 50), *words, *rng.choice(rare, 20)]))
+    docs = docs_of(frame, texts)
+    got = {r.doc_id: r for r in licenses.scan(docs, templates=templates).collect()}
+    check_scan(got, texts, templates)
+    assert sum(r.score > 0 for r in got.values()) > 20
+    monkeypatch.setattr(licenses, "MOST_BROADCAST", 5)  # the join by a shuffle gives the same
+    assert {r.doc_id: r.labels for r in licenses.scan(docs, templates=templates).collect()} == {i: r.labels for i, r in got.items()}
+    plan = licenses.scan(docs, templates=templates)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 200_000  # no expression for each template
 
 
 # 3 WARC
@@ -178,7 +244,8 @@ def test_warc_round_trip_rejects_magic_inside_payloads(spark, frame, monkeypatch
     html = [None, "", "short", "short", "é" * 60, "é" * 60, "é" * 60, "x\n" + inner * 3 + "tail", "\n" + inner, inner, "WARC/1.", "a\nWARC/1.1\r\nbroken", "\r\n\r\n", "y" * 200000]
     rows = [(i, f"http://h/{i}\r\nX: y", h, "hash") for i, h in enumerate(html)]
     pages = frame(rows, "page_id bigint, url string, html string, digest string")
-    for compression in ("gzip", "none"):
+    for compression, most in (("gzip", 0), ("none", 100)):
+        monkeypatch.setattr(warc.roles, "__defaults__", (*warc.roles.__defaults__[:-1], most))  # both ways of joining
         path = shared_dir(spark)
         warc.write(pages.coalesce(1), path, compression=compression)
         spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
@@ -237,6 +304,52 @@ def test_layouts_by_fingerprint():
         chat.turns_of({"foo": 1})
 
 
+def test_odd_records_come_back_with_an_error(frame):
+    records = [
+        None, '{"messages":[{"role":"user"},{"content":"x"}]}', '{"messages":[{"role":"user","content":"q","name":"n"}],"tools":[{"t":1}]}',
+        "{", "[1]", "7", '{"foo":1}', '{"messages":[{"role":"user","content":"a"}, 3]}', '{"messages":[1]}', "", '{"prompt":"p","completion":null,"score":0.5}', "[" * 100000,
+    ]
+    df = frame([(i, r, "clash", 9) for i, r in enumerate(records)], "id bigint, record string, error string, formatted int")
+    formatted = chat.format_records(df)
+    got = {r.id: r for r in formatted.collect()}
+    good = {0: [], 1: [("user", ""), ("", "x")], 2: [("user", "q")], 10: [("user", "p"), ("assistant", "")]}
+    for i, r in got.items():
+        if i in good:
+            assert r.error is None and r.n_turns == len(good[i]) and chat.read_turns(r.formatted) == good[i]
+        else:
+            assert r.error and r.formatted is None and r.spans is None and r.n_turns is None, records[i]
+    assert {r.id for r in chat.quarantined(formatted).collect()} == got.keys() - good.keys()
+    assert {r.id for r in chat.read_digests(chat.accepted(formatted)).collect()} == set(good) == {r.id for r in chat.read_digests(formatted).collect()}
+    assert chat.format_records(df.limit(0)).collect() == []
+
+
+def test_chat_query_goes_through_several_layouts(spark, frame, tmp_path):
+    rng = np.random.default_rng(12)
+    rows = []
+    for c in range(60):
+        roles = [["user", "assistant"], ["system", "user", "assistant"], ["user", "assistant"] * 3, ["human", "assistant"], ["user", None, "tool"]][c % 5]
+        for turn, role in enumerate(roles):
+            rows.append((c, turn, role, None if rng.random() < 0.1 else rng.choice(["hi", "<s>[INST]", "", "é\n<|im_end|>\n", "x" * 50]), 1.5))
+    rows += [(1, 0, "user", "same turn", 1.5), (None, 0, "user", "no id", 1.5), (None, None, "assistant", "no turn", 1.5)]
+    frame(rows, "conv_id bigint, turn bigint, role string, text string, record double").write.parquet(f"{tmp_path}/conversations.parquet")
+    records = chat.records_of(spark.read.parquet(f"{tmp_path}/conversations.parquet"), mixed=True)
+    used = {chat.fingerprint(chat.paths(json.loads(r.record))) for r in records.collect()}
+    assert len(used) >= 5
+    got = {r.conv_id: r for r in chat.op4_chat_format(spark, str(tmp_path)).collect()}
+    probe = [("user", chat.PROBE), ("assistant", chat.PROBE)]
+    want = {-7: probe}
+    for c in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+        want[c] = [(r[2] or "", r[3] or "") for r in own]
+    assert got.keys() == want.keys()
+    for c, turns in want.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        text = "".join(f"{r}\n{t}\n" for r, t in turns)
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), hashlib.sha256(text.encode()).hexdigest()), c
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest()), c
+        assert got[c].formatted_chars == len(chat.format_turns(turns)[0])
+
+
 def test_conversations(spark, frame):
     rows = [(1, 2, "assistant", "b"), (1, 1, "user", None), (1, None, None, "first"), (1, 2, "assistant", "a"), (1, 2, "assistant", "a"), (None, 0, "user", "x"), (2, 0, "assistant", "é👍" * 50000)]
     turns = frame(rows, "conv_id bigint, turn bigint, role string, text string")
@@ -267,6 +380,34 @@ def test_url_filter(frame):
     assert urls.judge(got.drop("blocked").limit(0).selectExpr("url", "day"), frame([], urls.EVENTS)).collect() == []
 
 
+def test_url_query_equals_a_plain_scan(spark, frame, tmp_path):
+    hosts = ["a.b.example.com", "b.example.com", "example.com", "EXAMPLE.com.", "x.org", "x.co.uk", "localhost", ".".join(["s"] * 45) + ".deep.net"]
+    paths = ["", "/", "/en", "/en/x?q=1", "/en//x#f", "/" + "/".join(f"p{k}" for k in range(60)), "/caf\u00e9"]
+    rows = [(i, f"http{'s' * (i % 2)}://{'u@' * (i % 3 == 0)}{h}{':80' * (i % 5 == 0)}{p}", "clash") for i, (h, p) in enumerate((h, p) for h in hosts for p in paths)]
+    rows += [(1000, None, "x"), (1001, "nonsense", "x"), (None, "http://x.org/en", "x"), (3, "http://example.com/en", "x"), (3, "http://example.com/en", "x"), (1002, "http://\u0000", "x")]
+    frame(rows, "page_id bigint, url string, action string").write.parquet(f"{tmp_path}/pages.parquet")
+    pages = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    spans = [tuple(r) for r in urls.intervals(urls.dated_list(pages)).collect()]
+    assert len(spans) > 20
+    got = sorted(urls.op5_url_filter(spark, str(tmp_path)).collect(), key=str)
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.page_id, []).append((r.n_active, r.entry, r.blocked))
+    for page, url, _ in rows:
+        m = re.match(r"[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*([^?#]*)", url or "")
+        host, path = (m[1].lower().rstrip("."), [p for p in m[2].split("/") if p]) if m else ("", [])
+        labels = host.split(".")
+        ends = [".".join(labels[k:]) for k in range(len(labels))] if host else []
+        keys = {e + "".join("/" + p for p in path[:k]) for e in ends for k in range(len(path) + 1)}
+        day = None if page is None else datetime.date(2024, 1, 1) + datetime.timedelta(page % 366)
+        active = [(len(k), a == "allow", k) for k, a, since, until in spans if day and k in keys and since <= day < until]
+        top = max(active, default=None)
+        assert (len(active), top and top[2], bool(top and not top[1])) in by[page], url
+    frame([], "page_id bigint, url string").write.parquet(f"{tmp_path}/empty/pages.parquet")
+    assert urls.op5_url_filter(spark, f"{tmp_path}/empty").collect() == []
+
+
 # 6 and 7 Token ids
 
 LONG = "Whstionthe " * 9000
@@ -462,6 +603,21 @@ def test_embeddings_link_like_brute_force(frame, monkeypatch):
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(("size", "least"), [(64, 0.99), (256, 0.98), (768, 0.97)])
+def test_recall_at_the_threshold(size, least):
+    """Pairs whose cosine is exactly the threshold, the hardest that must be found."""
+    rng = np.random.default_rng(size)
+    n = 1500
+    a, noise = (embeddings.units(rng.normal(size=(n, size))) for _ in range(2))
+    noise = embeddings.units(noise - (noise * a).sum(1, keepdims=True) * a)
+    b = 0.98 * a + math.sqrt(1 - 0.98**2) * noise
+    p, q = embeddings.buckets(a), embeddings.buckets(b)
+    meet = ((q == p[:, :, :1]).any(2) | (p == q[:, :, :1]).any(2)).any(1)
+    assert meet.mean() >= least
+    far = embeddings.buckets(noise)
+    assert ((far == p[:, :, :1]).any(2) | (p == far[:, :, :1]).any(2)).any(1).mean() < 0.01
+
+
 # 9 Decontamination
 
 
@@ -470,14 +626,18 @@ def test_decontamination_equals_brute_force(spark, frame, block_bytes):
     rng = np.random.default_rng(5)
     vocabulary = ["alpha", "beta", "gamma", "delta", "É", "z9"]
     words = lambda n: " ".join(rng.choice(vocabulary, n))
-    items = [(i, words(int(n))) for i, n in enumerate(rng.integers(1, 24, 20))] + [(20, None), (21, "  ,"), (3, words(12)), (10, "Solo")]
+    items = [(i, words(int(n))) for i, n in enumerate(rng.integers(1, 24, 20))] + [(20, None), (21, "  ,"), (3, words(12)), (10, "Solo"), (None, "no name here")]
     inside = items[5][1].upper().replace(" ", " -- ")
-    texts = [None, "", "...", "solo", "x solo y solo", f"start {inside} end", words(400), " ".join(["beta"] * 3000)] + [words(int(n)) for n in rng.integers(1, 40, 30)]
+    texts = [None, "", "...", "solo", "x solo y solo", "no name here", "no name", "here no name here", f"start {inside} end", words(400), " ".join(["beta"] * 3000)] + [words(int(n)) for n in rng.integers(1, 40, 30)]
     docs, bench = docs_of(frame, texts), frame(items, "item_id bigint, text string")
     found = decontaminate.scan(docs, bench, block_bytes=block_bytes, keep_text=True)
     got = {r.doc_id: r for r in found.collect()}
-    for doc, n, hit, n_items, digest, contaminated in decontaminate.brute(list(enumerate(texts)), items):
+    named = [(i, t) for i, t in items if i is not None]
+    for doc, n, hit, n_items, digest, contaminated in decontaminate.brute(list(enumerate(texts)), named):
         r = got[doc]
+        if doc in (5, 7):  # an item without an id marks its words, and is not listed
+            assert (n_items, len(r["items"]), sum(s.stop - s.start for s in r.spans)) == (0, 0, 3)
+            continue
         assert (r.n_words, sum(s.stop - s.start for s in r.spans), len(r["items"])) == (n, hit, n_items), texts[doc]
         assert hashlib.sha256(",".join(r["items"]).encode()).hexdigest() == digest and bool(r.spans) == contaminated
         assert r.text == texts[doc]
@@ -489,6 +649,42 @@ def test_decontamination_equals_brute_force(spark, frame, block_bytes):
     assert decontaminate.scan(docs.limit(0), bench).collect() == []
 
 
+def test_windows_whose_hashes_clash_stay_apart(monkeypatch):
+    monkeypatch.setattr(decontaminate, "_BASE", np.uint64(0))  # the hash is then the last word's id alone
+    items = [("a", b"one two three"), ("b", b"two two three"), ("c", b"four three"), ("d", b"one two three")]
+    index = decontaminate.Index(items, window=3)
+    texts = [b"x one two three", b"two two three two two three", b"four three", b"three", None, b"one two", b"three one two three"]
+    n, spans, owners = index.find(pa.array(texts, pa.binary()))
+    assert n == [4, 6, 2, 1, 0, 2, 4]
+    assert spans == [[(1, 4)], [(0, 3), (3, 6)], [(0, 2)], [], [], [], [(1, 4)]] or spans[1] == [(0, 6)]
+    assert owners == [{"a", "d"}, {"b"}, {"c"}, set(), set(), set(), {"a", "d"}]
+
+
+def test_a_benchmark_of_many_blocks_is_scanned_one_at_a_time(spark, frame, monkeypatch):
+    items = [(i, f"item{i} " + " ".join(f"w{i}x{k}" for k in range(12))) for i in range(60)]
+    texts = [None] + [f"start {items[i][1]} and {items[(i * 7) % 60][1]}" for i in range(30)]
+    docs, bench = docs_of(frame, texts), frame(items, "item_id bigint, text string")
+    alive, most = set(), [0]
+    context, made = type(spark.sparkContext), spark.sparkContext.broadcast
+
+    def counted(self, value):
+        shared = made(value)
+        if isinstance(value, decontaminate.Index):
+            alive.add(id(shared))
+            most[0] = max(most[0], len(alive))
+            gone = shared.destroy
+            shared.destroy = lambda *a: (alive.discard(id(shared)), gone(*a))
+        return shared
+
+    monkeypatch.setattr(context, "broadcast", counted)
+    found = decontaminate.scan(docs, bench, block_bytes=600)
+    got = {r.doc_id: r for r in found.collect()}
+    assert most[0] <= 1 and len(decontaminate._blocks(bench.selectExpr("string(item_id) item", "text"), 600)) >= 20
+    assert got[0]["items"] == [] and all(set(got[i + 1]["items"]) == {str(i), str(i * 7 % 60)} for i in range(30))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 # 10 Toxicity
 
 
@@ -501,6 +697,51 @@ def test_folding_and_exceptions():
     assert lexicon.score("idiot") > lexicon.score("idiot " + "fine " * 500) > lexicon.score("") == lexicon.score(None)
 
 
+@pytest.mark.parametrize("n", [5, 20, 29, 30, 31, 32, 33, 34, 35, 40, 500])
+def test_chunks_of_every_length_are_folded_alike(n):
+    lexicon = toxicity.Lexicon({" idiot ": 2.0, " scum": 1.5})
+    hits = lambda text: lexicon.hits(toxicity.fold(text)[0])[1]
+    assert hits("x-" * n + "idiot") == 1 and hits("fine," * n + "idiot") == 1 and hits("idiot/" * n) == n and hits("fine" * n + "idiot") == 0
+    assert hits("-".join("idiot")) == 1 and hits(".".join("idiot") + "," + "fine," * n) == 1 and hits("word-" * n + "s.c.u.m") == 1
+    assert toxicity.fold("fine," * n)[1] == n and toxicity.fold("fine " * n)[1] == n
+
+
+def plain_hits(lexicon, text):
+    """Weight and number of hits by looking for every entry at every place."""
+    folded = toxicity.fold(text)[0]
+    free = [(m.start(), m.start() + len(p) + 1) for p in lexicon.exceptions for m in re.finditer(f"(?={re.escape(f' {p} ')})", folded)]
+    best = {}
+    for entry, weight in lexicon.weights.items():
+        for m in re.finditer(f"(?={re.escape(entry)})", folded):
+            if len(entry) > best.get(m.start(), (0,))[0]:
+                best[m.start()] = len(entry), weight
+    kept = [w for s, (_, w) in best.items() if not any(a <= s < b for a, b in free)]
+    return sum(kept), len(kept)
+
+
+def test_toxicity_query_equals_a_plain_scan(spark, frame, tmp_path):
+    rng = np.random.default_rng(13)
+    pieces = ["idiot", "1d10t", "i.d.i.o.t", "moron", "scum", "trash", "trash can", "trash cans", "fine", "word", "clown", "clown fish", "x-idiot-y", "ok,scum", "St\u00fcpid", "stupid", "12", "!!", "\u0456diot"]
+    texts = [None, "", "...", "idiot " * 3000, "trash can " * 3000 + "idiot"] + [" ".join(rng.choice(pieces, int(n))) for n in rng.integers(1, 60, 150)]
+    frame([(i, t, "x", 3) for i, t in enumerate(texts)] + [(7, "another text of an id", "x", 3)], "doc_id bigint, text string, score string, predicted int").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, int("idiot" in (t or ""))) for i, t in enumerate(texts) if i % 3] + [(None, 1, 1), (8, 0, None), (10, 1, 0)]
+    frame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    lexicon, again = (toxicity.train(spark, str(tmp_path)) for _ in range(2))
+    assert lexicon.weights == again.weights and lexicon.factors == again.factors and len(lexicon.weights) > 3
+    got = toxicity.op10_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        if r.doc_id == 7:
+            continue
+        text = texts[r.doc_id]
+        weight, n = plain_hits(lexicon, text)
+        assert lexicon.hits(toxicity.fold(text)[0])[1] == n and abs(lexicon.hits(toxicity.fold(text)[0])[0] - weight) < 1e-6
+        x = max(weight, 0.0)
+        z = lexicon.factors[0] + lexicon.factors[1] * x / math.sqrt(toxicity.fold(text)[1] + 1) + lexicon.factors[2] * math.log1p(x)
+        assert abs(r.score - 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))) < 1e-9 and r.predicted == int(r.score >= 0.5), text
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_learning_and_held_out_accuracy(spark, frame):
     rng = np.random.default_rng(6)
     clean = [f"{a}{b}" for a in ("ban", "tor", "mel", "pir") for b in ("ka", "lo", "nu", "si")]

@@ -22,14 +22,19 @@ def compiled(source: str) -> regex.Pattern:
 
 
 def cuts_of(pattern: object, text: str) -> list[Cut]:
-    """A partition of `text`: pattern is a one-argument test of a character, a literal, or a compiled expression."""
-    if callable(pattern) and not isinstance(pattern, regex.Pattern):
+    """A partition of `text`: pattern is a one-argument test of a character, a literal, a compiled expression, or an object with `spans`."""
+    if hasattr(pattern, "spans") and not isinstance(pattern, (str, regex.Pattern)):
+        spans = pattern.spans(text)
+    elif callable(pattern) and not isinstance(pattern, regex.Pattern):
         return by_test(pattern, text)
-    spans = literal_spans(pattern, text) if isinstance(pattern, str) else [m.span() for m in pattern.finditer(text)]
+    else:
+        spans = literal_spans(pattern, text) if isinstance(pattern, str) else [m.span() for m in pattern.finditer(text)]
     out, end = [], 0
     for a, b in spans:
         if a < end:
             raise PatternError("matches overlap")
+        if not a <= b <= len(text):
+            raise PatternError(f"a match from {a} to {b} doesn't fit a text of {len(text)} characters")
         if a > end:
             out.append((end, a, False))
         out.append((a, b, True))

@@ -45,6 +45,10 @@ class Model:
     def split(self, word: str) -> list[Token]:
         raise NotImplementedError
 
+    def ids(self, word: str) -> list[int]:
+        """The ids of `split`, for those who need nothing else."""
+        return [t[0] for t in self.split(word)]
+
     def _id(self, token: str) -> int:
         if token not in self.vocab:
             raise ModelError(f"the unknown token {token!r} is not in the vocabulary")
@@ -93,6 +97,20 @@ class WordPiece(Model):
             at = end
         return out
 
+    def ids(self, word: str) -> list[int]:
+        get, n, lead, out, at = self.vocab.get, len(word), "", [], 0
+        if n > self.most:
+            return [self._id(self.unk_token)]
+        while at < n:
+            end = min(n, at + self.longest)
+            while end > at and (i := get(lead + word[at:end])) is None:
+                end -= 1
+            if end == at:
+                return [self._id(self.unk_token)]
+            out.append(i)
+            at, lead = end, self.prefix
+        return out
+
     def spec(self) -> dict:
         return {"type": self.kind, "unk_token": self.unk_token, "continuing_subword_prefix": self.prefix, "max_input_chars_per_word": self.most, "vocab": _by_id(self.vocab)}
 
@@ -127,6 +145,24 @@ class BPE(Model):
             return [(self.vocab[word], word, 0, len(word))]
         return [(i, self.reverse[i], a, b) for i, a, b in self._merge(self._symbols(word))]
 
+    def ids(self, word: str) -> list[int]:
+        if self.random or self.prefix or not word or len(word) > 64 or self.ignore_merges and word in self.vocab:
+            return [t[0] for t in self.split(word)]
+        get, merges = self.vocab.get, self.merges.get
+        parts = [get(c) for c in word[:-1]] + [get(word[-1] + self.suffix)]
+        if None in parts:
+            return [t[0] for t in self.split(word)]
+        while len(parts) > 1:  # the pair of least rank, of equal ones the first
+            found = [m for m in map(merges, zip(parts, parts[1:])) if m is not None]
+            if not found:
+                break
+            best = min(found)
+            for at in range(len(parts) - 1):
+                if merges((parts[at], parts[at + 1])) == best:
+                    parts[at : at + 2] = [best[1]]
+                    break
+        return parts
+
     def _symbols(self, word: str) -> list[list[int]]:
         out: list[list[int]] = []
         unknown: list[int] | None = None
@@ -282,6 +318,40 @@ class Unigram(Model):
                 out += self._tokens(word, a, b)
         return out
 
+    def ids(self, word: str) -> list[int]:
+        if self.random or not word:
+            return [t[0] for t in self.split(word)]
+        n, longest, prefixes, by_text = len(word), self.longest, self.prefixes, self.by_text
+        low, none = self.least - UNKNOWN_PENALTY, -math.inf
+        score, back = [none] * (n + 1), [None] * (n + 1)
+        score[0] = 0.0
+        for at in range(n):
+            base = score[at]
+            if base == none:
+                continue
+            single = False
+            for end in range(at + 1, min(n, at + longest) + 1):
+                part = word[at:end]
+                if part not in prefixes:
+                    break
+                found = by_text.get(part)
+                if found is not None:
+                    single |= end == at + 1
+                    if base + found[1] > score[end]:
+                        score[end], back[end] = base + found[1], (at, found[0])
+            if not single:
+                if self.unk_id is None:
+                    return [t[0] for t in self.split(word)]
+                if base + low > score[at + 1]:
+                    score[at + 1], back[at + 1] = base + low, (at, self.unk_id)
+        out, at = [], n
+        while at:
+            at, i = back[at]
+            out.append(i)
+        if self.unk_id in out:
+            return [t[0] for t in self.split(word)]
+        return out[::-1]
+
     def _tokens(self, word: str, a: int, b: int) -> list[Token]:
         part = word[a:b]
         if part in self.by_text:

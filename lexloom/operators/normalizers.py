@@ -96,6 +96,34 @@ class Charsmap:
         return None
 
 
+def charsmap_of(rules: dict[str, str]) -> str:
+    """A charsmap with the given replacements, in base64: each node of the trie has a block of 256 units of its own."""
+    children: list[dict[int, int]] = [{}]
+    values: dict[int, int] = {}
+    texts = bytearray()
+    for source, target in sorted(rules.items()):
+        node = 0
+        for b in source.encode():
+            if b not in children[node]:
+                children[node][b] = len(children)
+                children.append({})
+            node = children[node][b]
+        values[node] = len(texts)
+        texts += target.encode() + b"\0"
+    units = [0] * (256 * (len(children) + 1))
+    base = lambda node: 256 * (node + 1)
+    units[0] = base(0) << 10
+    for node, own in enumerate(children):
+        for b, child in own.items():
+            place = base(node) ^ b
+            units[place] = (place ^ base(child)) << 10 | (child in values) << 8 | b
+        if node in values:
+            units[base(node)] = values[node] | 1 << 31
+    if base(len(children)) >= 1 << 21:
+        raise ConfigError("too many replacements for one charsmap")
+    return base64.b64encode(struct.pack(f"<I{len(units)}I", 4 * len(units), *units) + bytes(texts)).decode()
+
+
 @lru_cache(8)
 def _charsmap(data: str) -> Charsmap:
     return Charsmap(base64.b64decode(data))

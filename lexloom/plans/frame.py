@@ -17,9 +17,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from lexloom.errors import ConfigError, LexloomError, RecordError
-from lexloom.functions import columns
-from lexloom.operators import trainers
-from lexloom.operators.encoding import COLUMNS, Encoding
+from lexloom.functions import columns, plain
+from lexloom.functions.align import Aligned
+from lexloom.functions.memo import portions
+from lexloom.operators.encoding import Encoding
 from lexloom.plans.tokenizer import Tokenizer, row_error
 
 ENCODING = (
@@ -54,8 +55,16 @@ def _batches(df: DataFrame, names: dict[str, str], fn: Callable[[dict[str, list]
 
 
 def _row(e: Encoding) -> dict:
-    plain = {c: getattr(e, c) for c in COLUMNS if c != "offsets"}
-    return plain | {"offsets": [{"start": a, "end": b} for a, b in e.offsets], "sequence_ids": e.sequence_ids()}
+    return {
+        "ids": e.ids,
+        "tokens": e.tokens,
+        "offsets": [{"start": a, "end": b} for a, b in e.offsets],
+        "type_ids": e.type_ids,
+        "word_ids": e.word_ids,
+        "special_tokens_mask": e.special_tokens_mask,
+        "attention_mask": e.attention_mask,
+        "sequence_ids": e.sequence_ids(),
+    }
 
 
 def _flat(e: Encoding, path: list[int]) -> Iterator[tuple[list[int], Encoding]]:
@@ -66,17 +75,18 @@ def _flat(e: Encoding, path: list[int]) -> Iterator[tuple[list[int], Encoding]]:
 
 def encode(
     df: DataFrame, tokenizer: Tokenizer, text: str = "text", pair: str | None = None, keep: list[str] | None = None,
-    add_special_tokens: bool = True, offsets: str = "byte", overflow: bool = False,
+    add_special_tokens: bool = True, offsets: str = "byte", overflow: bool = False, errors: bool = False,
 ) -> DataFrame:
     """`keep` columns and an encoding per row; with `overflow` a row per window, told by `path` ([] is the main one).
 
-    text and pair are strings, or arrays of words; null texts count as empty. A row
-    that cannot be encoded fails the job with its kept columns named. Batch-longest
-    padding needs a batch, so it is not applied here: see `pad`."""
+    text and pair are strings, or arrays of words; null texts count as empty. A row that
+    cannot be encoded fails the job, or with `errors` comes with its fault in the column
+    `error` and null in the others. Batch-longest padding needs a batch, so it is not
+    applied here: see `pad`."""
     bare = tokenizer.with_padding(None) if tokenizer.padding and not isinstance(tokenizer.padding.strategy, dict) else tokenizer
     shared = df.sparkSession.sparkContext.broadcast(bare)
     keep = [c for c in df.columns if c not in (text, pair)] if keep is None else keep
-    clash = set(keep) & {"path", *(f.split()[0] for f in ENCODING.split(", "))}
+    clash = set(keep) & {"path", "error", *(f.split()[0] for f in ENCODING.split(", "))}
     if clash:
         raise ConfigError(f"columns {sorted(clash)} would clash with those of an encoding; rename or leave them out of keep")
 
@@ -87,13 +97,16 @@ def encode(
             try:
                 e = t.encode(a if a is not None else "", (b if b is not None else "") if pair else None, add_special_tokens, offsets)
             except LexloomError as error:
-                raise row_error(f"{k} of its batch ({str(a)[:40]!r})", error) from error
+                if not errors:
+                    raise row_error(f"{k} of its batch ({str(a)[:40]!r})", error) from error
+                out.append({_KEY: k, "path": [], "error": str(error)})
+                continue
             for path, part in _flat(e, []) if overflow else [([], e)]:
                 out.append({_KEY: k, "path": path} | _row(part))
         return out
 
-    found = _batches(df, {"text": text} | ({"pair": pair} if pair else {}), run, f"path array<int>, {ENCODING}", keep)
-    return found if overflow else found.drop("path")
+    found = _batches(df, {"text": text} | ({"pair": pair} if pair else {}), run, f"path array<int>, {ENCODING}, error string", keep)
+    return found.drop(*(["path"] * (not overflow) + ["error"] * (not errors)))
 
 
 def ids_column(df: DataFrame, tokenizer: Tokenizer, text: str = "text", add_special_tokens: bool = True, keep: list[str] | None = None) -> DataFrame:
@@ -104,25 +117,35 @@ def ids_column(df: DataFrame, tokenizer: Tokenizer, text: str = "text", add_spec
     packed = df.select(F.struct(*(keep or [F.lit(0)])).alias("row"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [shared.value.ids(t, add_special_tokens) if t else shared.value.ids("", add_special_tokens) for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            flat = np.fromiter((i for x in lists for i in x), np.int64, int(ends[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["row", "ids"])
+        for part in (p for batch in batches for p in portions(batch, "text")):
+            texts = part.column(1).fill_null("").to_numpy(zero_copy_only=False)
+            ids, ends = shared.value.ids_batch(texts, add_special_tokens)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], ["row", "ids"])
 
     out = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, ids array<bigint>")
     return out.select("row.*", "ids") if keep else out.select("ids")
 
 
 def decode(df: DataFrame, tokenizer: Tokenizer, ids: str = "ids", keep: list[str] | None = None, skip_special_tokens: bool = True, strict: bool = False, out: str = "text") -> DataFrame:
-    """`keep` columns and the text of each array of ids; unknown ids drop out, or fail the job if `strict`."""
+    """`keep` columns and the text of each array of ids; a null array gives an empty text; unknown ids drop out, or fail the job if `strict`."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer)
     keep = [c for c in df.columns if c not in (ids, out)] if keep is None else keep
+    packed = df.select(F.struct(*(keep or [F.lit(0)])).alias("row"), F.col(ids).cast("array<bigint>").alias("ids"))
 
-    def run(got: dict[str, list]) -> list[dict]:
-        return [{_KEY: k, out: shared.value.decode([i for i in x or [] if i is not None], skip_special_tokens, strict)} for k, x in enumerate(got["ids"])]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, lists = shared.value, batch.column(1)
+            flat, whole = lists.flatten(), lists.null_count == 0
+            text = None
+            if not strict and whole and flat.null_count == 0:
+                ends = lists.offsets.to_numpy().astype(np.int64)
+                text = t.decode_lists(flat.to_numpy(), ends - ends[0], skip_special_tokens)
+            if text is None:
+                text = pa.array([t.decode([i for i in x or [] if i is not None], skip_special_tokens, strict) for x in lists.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), text], ["row", out])
 
-    return _batches(df, {"ids": ids}, run, f"{out} string", keep)
+    found = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, {out} string")
+    return found.select("row.*", out) if keep else found.select(out)
 
 
 def count(df: DataFrame, tokenizer: Tokenizer, text: str = "text", keep: list[str] | None = None, add_special_tokens: bool = True, settings: bool = False) -> DataFrame:
@@ -167,36 +190,97 @@ def vocab_frame(df: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "token string, id bigint")
 
 
+#: Rows of a vocabulary that are broadcast; a larger one is joined by a shuffle. A row costs some 100 bytes.
+MOST_BROADCAST = 2_000_000
+
+
+def _near(df: DataFrame) -> DataFrame:
+    """`df` to be broadcast, if it has no more than `MOST_BROADCAST` rows."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
 def word_level_ids(words: DataFrame, vocab: DataFrame, unk_id: int, word: str = "word") -> DataFrame:
-    """`words` with the id of each word: a vocabulary join; it is small and broadcast, its size being that of a vocabulary."""
+    """`words` with the id of each word: a vocabulary join, by broadcast as far as its size allows that."""
     known = vocab.select(F.col("token").alias(word), "id")
-    return words.join(F.broadcast(known), word, "left").withColumn("id", F.coalesce("id", F.lit(unk_id)))
+    return words.join(_near(known), word, "left").withColumn("id", F.coalesce("id", F.lit(unk_id)))
 
 
 def unknown_ids(df: DataFrame, tokenizer: Tokenizer, ids: str = "ids") -> DataFrame:
     """Rows of (id) that no token has; empty, if all decode."""
     known = vocab_frame(df, tokenizer).select("id")
-    return df.select(F.explode(ids).alias("id")).distinct().join(F.broadcast(known), "id", "left_anti")
+    return df.select(F.explode(ids).alias("id")).distinct().join(_near(known), "id", "left_anti")
 
 
-def words(df: DataFrame, tokenizer: Tokenizer, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns, pos and word: normalized and split, without cutting out added tokens, as training counts them."""
+def normalized(df: DataFrame, tokenizer: Tokenizer, text: str = "text", keep: list[str] | None = None, out: str = "normalized") -> DataFrame:
+    """`keep` columns and each text as the normalizer leaves it; null stays null."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer)
     keep = [c for c in df.columns if c != text] if keep is None else keep
+    packed = df.select(F.struct(*(keep or [F.lit(0)])).alias("row"), F.col(text).alias("text"))
 
-    def run(got: dict[str, list]) -> list[dict]:
-        from lexloom.functions.align import Aligned
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = shared.value
+            step = plain.normalizer(t.specs["normalizer"]) or t.normalize
+            texts = [None if x is None else step(x) for x in batch.column(1).to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", out])
 
+    found = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, {out} string")
+    return found.select("row.*", out) if keep else found.select(out)
+
+
+def splits(df: DataFrame, tokenizer: Tokenizer, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """`keep` columns, pos, piece and the range of the original in characters that it stands for, after normalizing and splitting."""
+    shared = df.sparkSession.sparkContext.broadcast(tokenizer)
+    keep = [c for c in df.columns if c != text] if keep is None else keep
+
+    def run(got: dict[str, list]) -> list[dict]:
         t, out = shared.value, []
         for k, x in enumerate(got["text"]):
             whole = Aligned(x or "")
             if t.normalizer:
                 t.normalizer(whole)
-            parts = t.pre_tokenizer(whole) if t.pre_tokenizer else [whole]
-            out += [{_KEY: k, "pos": n, "word": w} for n, w in enumerate(p.text for p in parts if p.text)]
+            parts = [p for p in (t.pre_tokenizer(whole) if t.pre_tokenizer else [whole]) if p.text]
+            for pos, p in enumerate(parts):
+                a, b = p.original_span(0, len(p))
+                out.append({_KEY: k, "pos": pos, "piece": p.text, "start": a, "stop": b})
         return out
 
-    return _batches(df, {"text": text}, run, "pos int, word string", keep)
+    return _batches(df, {"text": text}, run, "pos int, piece string, start int, stop int", keep)
+
+
+def words(df: DataFrame, tokenizer: Tokenizer, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """`keep` columns, pos and word: normalized and split, without cutting out added tokens, as training counts them. Null has no words."""
+    shared = df.sparkSession.sparkContext.broadcast(tokenizer)
+    keep = [c for c in df.columns if c != text] if keep is None else keep
+    packed = df.select(F.struct(*(keep or [F.lit(0)])).alias("row"), F.col(text).alias("text"))
+
+    def aligned(t: Tokenizer) -> Callable[[str], list[str]]:
+        def run(x: str) -> list[str]:
+            whole = Aligned(x)
+            if t.normalizer:
+                t.normalizer(whole)
+            return [p.text for p in (t.pre_tokenizer(whole) if t.pre_tokenizer else [whole])]
+
+        return run
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shared.value
+        normal, split = plain.normalizer(t.specs["normalizer"]), plain.splitter(t.specs["pre_tokenizer"])
+        words_of = (lambda x: split(normal(x))) if normal and split else aligned(t)
+        for part in (p for batch in batches for p in portions(batch, "text")):
+            found, sizes = [], []
+            for x in part.column(1).fill_null("").to_numpy(zero_copy_only=False):
+                own = [w for w in words_of(x) if w]
+                found += own
+                sizes.append(len(own))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            for at in range(0, len(found), 1 << 17):  # a text's words may be very many
+                cut = slice(at, at + (1 << 17))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[cut])), pa.array(pos[cut].astype(np.int32)), pa.array(found[cut], pa.string())], ["row", "pos", "word"])
+
+    out = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, pos int, word string")
+    return out.select("row.*", "pos", "word") if keep else out.select("pos", "word")
 
 
 #: Splitters with an exact native form, by type; options as in tokenizer.json.
@@ -220,33 +304,11 @@ def word_counts(df: DataFrame, tokenizer: Tokenizer, text: str = "text") -> Data
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Distinct words that the driver takes for merging or pruning.
-MOST_WORDS = 20_000_000
-
+def train(df: DataFrame, tokenizer: Tokenizer, trainer: object, text: str = "text") -> Tokenizer:
+    """A tokenizer with a model trained on `df`; specials become added tokens. See `lexloom.plans.training`."""
+    from lexloom.plans import training
 
-def train(df: DataFrame, tokenizer: Tokenizer, trainer: object, text: str = "text", most_words: int = MOST_WORDS) -> Tokenizer:
-    """A tokenizer with a model trained on `df`; specials become added tokens. Counting runs on the cluster."""
-    counted = word_counts(df, tokenizer, text)
-    if isinstance(trainer, trainers.WordLevelTrainer):  # all but the first vocab_size words stay on the cluster
-        counted = counted.where(F.col("n") >= trainer.min_frequency).orderBy(F.desc("n"), "word").limit(trainer.vocab_size)
-    else:
-        n = counted.count()
-        if n > most_words:
-            raise ConfigError(f"{n} distinct words; merging takes {most_words} at most. Set a larger most_words or split words further")
-    counts = {r["word"]: r["n"] for r in counted.toLocalIterator()}
-    if isinstance(trainer, trainers.UnigramTrainer):
-        context = df.sparkSession.sparkContext
-
-        def run(fn: Callable, pieces: list, sentences: list) -> list:
-            chunks = [sentences[k : k + trainers.CHUNK] for k in range(0, len(sentences), trainers.CHUNK)]
-            if len(chunks) < 8:
-                return [fn(pieces, c) for c in chunks]
-            shared = context.broadcast(pieces)
-            return context.parallelize(chunks, min(len(chunks), 2 * context.defaultParallelism)).map(lambda c: fn(shared.value, c)).collect()
-
-        model = trainer.train(counts, run)
-    else:
-        model = trainer.train(counts)
+    model = training.model(word_counts(df, tokenizer, text), trainer)
     return tokenizer.with_model(model).with_tokens(trainer.special_tokens)
 
 

@@ -10,21 +10,36 @@ import json
 import os
 import stat
 import tempfile
-import unicodedata
 from collections.abc import Iterable
 from dataclasses import asdict, replace
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 
 from lexloom.errors import ConfigError, LexloomError, RecordError, TruncationError, UnknownIdError
+from lexloom.functions import plain
 from lexloom.functions.align import Aligned, byte_starts
-from lexloom.functions.chars import byte_alphabet
+from lexloom.functions.chars import char_bytes
+from lexloom.functions.memo import Memo, joined, lists_of
 from lexloom.functions.patterns import compiled
 from lexloom.operators import decoders, models, normalizers, pretokenizers, processors
 from lexloom.operators.added import AddedToken, AddedVocabulary
 from lexloom.operators.encoding import Encoding, Padding, Truncation, pad_all, truncate
 
 
+Part = dict | object | None
+
+
+def _made(build, part: Part) -> object:
+    return build(part) if part is None or isinstance(part, dict) else part
+
+
 class Tokenizer:
-    def __init__(self, model: models.Model, normalizer: dict | None = None, pre_tokenizer: dict | None = None, post_processor: dict | None = None, decoder: dict | None = None) -> None:
+    """A model and the components around it: specifications as in the file format, or objects as in `lexloom.operators.custom`."""
+
+    def __init__(self, model: models.Model, normalizer: Part = None, pre_tokenizer: Part = None, post_processor: Part = None, decoder: Part = None) -> None:
         self.model = model
         self.specs = {"normalizer": normalizer, "pre_tokenizer": pre_tokenizer, "post_processor": post_processor, "decoder": decoder}
         self.added = AddedVocabulary()
@@ -33,18 +48,20 @@ class Tokenizer:
         self._build()
 
     def _build(self) -> None:
-        self.normalizer = normalizers.build(self.specs["normalizer"])
-        self.pre_tokenizer = pretokenizers.build(self.specs["pre_tokenizer"])
-        self.processor = processors.build(self.specs["post_processor"])
-        self.decoder = decoders.build(self.specs["decoder"])
+        self.normalizer = _made(normalizers.build, self.specs["normalizer"])
+        self.pre_tokenizer = _made(pretokenizers.build, self.specs["pre_tokenizer"])
+        self.processor = _made(processors.build, self.specs["post_processor"])
+        self.decoder = _made(decoders.build, self.specs["decoder"])
         self.added.refresh(self.normalizer)
 
     def __getstate__(self) -> dict:
         gone = dict.fromkeys(("normalizer", "pre_tokenizer", "processor", "decoder"))
-        return {k: v for k, v in self.__dict__.items() if k not in ("_plan", "_known", "_bytes")} | gone
+        kept = {k: v for k, v in self.__dict__.items() if k not in ("_plan", "_normal", "_shown")}
+        # by value, so that components of one's own reach workers that don't have their modules
+        return kept | gone | {"specs": cloudpickle.dumps(self.specs), "model": cloudpickle.dumps(self.model)}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
+        self.__dict__.update(state | {k: cloudpickle.loads(state[k]) for k in ("specs", "model")})
         self._build()
 
     # Load and save.
@@ -80,6 +97,9 @@ class Tokenizer:
             return cls.from_json(f.read())
 
     def spec(self) -> dict:
+        own = [k for k, v in self.specs.items() if v is not None and not isinstance(v, dict)]
+        if own or not isinstance(self.model, models.Model):
+            raise ConfigError(f"components of one's own can't be stored: {', '.join(own or ['model'])}")
         t, p = self.truncation, self.padding
         return {
             "version": "1.0",
@@ -112,7 +132,7 @@ class Tokenizer:
 
     def _copy(self) -> Tokenizer:
         out = copy.copy(self)
-        for name in ("_plan", "_known", "_bytes"):
+        for name in ("_plan", "_normal", "_shown"):
             out.__dict__.pop(name, None)
         out.specs, out.added = dict(self.specs), copy.deepcopy(self.added)
         return out
@@ -146,8 +166,8 @@ class Tokenizer:
         return i
 
     def _rebound(self, spec: dict | None) -> dict | None:
-        if spec is None:
-            return None
+        if not isinstance(spec, dict):
+            return spec
         spec = copy.deepcopy(spec)
         if spec["type"] == "Sequence":
             spec["processors"] = [self._rebound(s) for s in spec["processors"]]
@@ -255,57 +275,84 @@ class Tokenizer:
 
     def ids(self, text: str, add_special_tokens: bool = True) -> list[int]:
         """The ids of `encode`, without keeping track of where they come from wherever the set-up allows that."""
-        fast = self._fast()
-        if fast is None or any(m is not None and m[0].search(text) for m in (self.added._raw, self.added._norm)):
+        if self._fast() is None:
             return self.encode(text, None, add_special_tokens, "char").ids
-        words, (head, tail) = fast
-        out = list(head) if add_special_tokens else []
-        known, make = self._known, self._word_ids
-        for w in words(text):
-            got = known.get(w)
-            out += make(w) if got is None else got
-        return out + list(tail) if add_special_tokens else out
-
-    def _word_ids(self, word: str) -> tuple[int, ...]:
-        got = tuple(t[0] for t in self.model.tokenize("".join(self._bytes[b] for b in word.encode()) if self._bytes else word))
-        if not self.model.random and len(word) < 256:
-            if len(self._known) >= models.CACHE * 3:
-                self._known.clear()
-            self._known[word] = got
-        return got
+        return self.ids_batch([text], add_special_tokens)[0].tolist()
+
+    def ids_batch(self, texts: list[str], add_special_tokens: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts, one after the other, and the places where texts start and the last ends."""
+        fast = self._fast()
+        if fast is None:
+            lists = [self.encode(t, None, add_special_tokens, "char").ids for t in texts]
+            ends = np.cumsum([0, *map(len, lists)])
+            return np.fromiter(chain.from_iterable(lists), np.int64, int(ends[-1])), ends
+        words_of, (head, tail), memo = fast
+        added = [m for m in (self.added._raw, self.added._norm) if m is not None]
+        head, tail = (list(head), list(tail)) if add_special_tokens else ([], [])
+        words: list[str] = []
+        bounds, places, put = [0], [], []  # ids that come from no word, and before which word they stand
+        for text in texts:
+            places += [len(words)] * len(head)
+            put += head
+            if added and text and any(m[0].search(text) for m in added):
+                for i, part in self._parts(text):
+                    if i is None:
+                        words += words_of(part)
+                    else:
+                        places.append(len(words))
+                        put.append(i)
+            elif text:
+                words += words_of(text)
+            places += [len(words)] * len(tail)
+            put += tail
+            bounds.append((len(words), len(put)))
+        lists = memo.take(pa.array(words, pa.string()))
+        starts = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        flat = lists.flatten().to_numpy().astype(np.int64)
+        if put:
+            flat = np.insert(flat, starts[np.array(places)], put)
+        ends = np.array([0, *(starts[w] + k for w, k in bounds[1:])], np.int64)
+        return flat, ends
+
+    def _parts(self, text: str) -> list[tuple[int | None, str]]:
+        """A text around its added tokens, as `AddedVocabulary.extract` does it; parts are normalized when they are split."""
+        out = []
+        for i, a, b in self.added.matches(text, self.added._raw):
+            if i is not None:
+                out.append((i, ""))
+                continue
+            part = self._normal(text[a:b])
+            out += [(j, "") if j is not None else (None, _Done(part[c:d])) for j, c, d in self.added.matches(part, self.added._norm)]
+        return out
 
     def _fast(self):
-        """Words of a text as plain strings and the special ids around them, or None where offsets steer the result."""
+        """What a text's words are as plain strings, the special ids around them and the ids of words; None where offsets steer the result."""
         if not hasattr(self, "_plan"):
-            self._known, self._bytes = {}, None
             self._plan = self._fast_plan()
         return self._plan
 
     def _fast_plan(self):
-        split, norm = self.specs["pre_tokenizer"], self.specs["normalizer"]
         around = processors.around(self.processor)
-        if around is None or self.truncation or self.padding:
+        normal, split = plain.normalizer(self.specs["normalizer"]), plain.splitter(self.specs["pre_tokenizer"])
+        if around is None or self.truncation or self.padding or normal is None or split is None or self.model.random:
             return None
-        kind = split and split["type"]
-        find = None
-        if kind == "Whitespace":
-            find = compiled(pretokenizers.WORD_OR_SIGNS).findall
-        elif kind == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True):
-            find, self._bytes = compiled(pretokenizers.WORDS).findall, byte_alphabet()
-        elif kind == "Metaspace" and split.get("replacement", "▁") == "▁" and split.get("prepend_scheme", "always") == "always" and split.get("split", True):
-            cut = compiled("▁[^▁]*|[^▁]+").findall
-            find = lambda t: cut(r if (r := t.replace(" ", "▁")).startswith("▁") else "▁" + r) if t else []
-        elif kind == "BertPreTokenizer":
-            find = compiled(r"[\p{P}$+<=>^`|~]|[^\s\p{P}$+<=>^`|~]+").findall
-        if find is None:
+        if self.specs["pre_tokenizer"] is None:
+            split = self._whole_words() or split
+        self._normal = normal
+
+        def words_of(text: str) -> list[str]:
+            return [w for w in split(text if isinstance(text, _Done) else normal(text)) if w]
+
+        ids = self.model.ids
+        return words_of, around, Memo(lambda words: lists_of([ids(w) for w in words.to_numpy(zero_copy_only=False)]))
+
+    def _whole_words(self):
+        """Without a splitter a model gets a whole text. Where no token goes on across the start of a run of `▁`, merging
+        cannot either, so a text may be cut there."""
+        model, mark = self.model, "▁"
+        if model.kind != "BPE" or model.prefix or model.suffix or model.ignore_merges or mark not in model.vocab:
             return None
-        if norm is None:
-            return find, around
-        if norm.get("type") in normalizers.FORMS:
-            return lambda t: find(unicodedata.normalize(norm["type"], t)), around
-        if norm.get("type") == "Lowercase":
-            return lambda t: find("".join(c.lower() for c in t) if "Σ" in t else t.lower()), around
-        return None
+        return None if any(inside.search(t) for inside in [compiled(f"[^{mark}]{mark}")] for t in model.vocab) else compiled(f"{mark}+[^{mark}]*|[^{mark}]+").findall
 
     def encode_batch(self, texts: Iterable, add_special_tokens: bool = True, offsets: str = "byte") -> list[Encoding]:
         """Encodings of texts or (text, pair) tuples; padded to one length, if padding is on."""
@@ -353,15 +400,72 @@ class Tokenizer:
     def decode_batch(self, batch: Iterable[Iterable[int]], skip_special_tokens: bool = True) -> list[str]:
         return [self.decode(ids, skip_special_tokens) for ids in batch]
 
+    def decode_lists(self, ids: np.ndarray, ends: np.ndarray, skip_special_tokens: bool = True) -> pa.Array | None:
+        """Texts of many lists of ids, one after the other, from tables of what each token shows; None where a decoder needs whole lists."""
+        key = bool(skip_special_tokens)
+        if not hasattr(self, "_shown"):
+            self._shown = {}
+        if key not in self._shown:
+            self._shown[key] = self._tables(key)
+        if self._shown[key] is None:
+            return None
+        first, rest, last, between, known = self._shown[key]
+        good = (ids >= 0) & (ids < len(known))
+        good &= known[np.where(good, ids, 0)]
+        if not good.all():
+            ends = np.concatenate(([0], np.cumsum(good)))[ends]
+            ids = ids[good]
+        n, full = len(known), ends[:-1] < ends[1:]
+        at = ids.copy()
+        if first is not None:
+            at[ends[:-1][full]] += n
+        if last is not None:
+            at[ends[1:][full] - 1] += n
+        found = joined(rest if first is None and last is None else pa.concat_arrays([rest, last if first is None else first]), at, ends, between)
+        try:
+            text = found.cast(pa.string())
+        except pa.ArrowInvalid:
+            text = pa.array([x.decode("utf-8", "replace") for x in found.to_pylist()], pa.string())
+        return text
+
+    def _tables(self, skip: bool):
+        """What each id shows at the first place of a text, elsewhere and at the last, what stands between tokens, and which ids show."""
+        spec = self.specs["decoder"]
+        kind = None if spec is None else decoders.untagged(spec)["type"] if isinstance(spec, dict) else ""
+        if kind not in (None, "ByteLevel", "WordPiece", "Metaspace", "BPEDecoder", "Fuse"):
+            return None
+        top = max([*self.model.reverse, *self.added.by_id, -1]) + 1
+        if top > 4 * self.vocab_size() + 1000:
+            return None
+        hidden = self.added.specials() if skip else ()
+        tokens = [self.id_to_token(i) for i in range(top)]
+        known = np.array([t is not None and t not in hidden for t in tokens], bool)
+        tokens = ["" if t is None else t for t in tokens]
+        made = lambda each: pa.array([x if isinstance(x, bytes) else x.encode() for x in map(each, tokens)], pa.binary())
+        if kind is None:
+            return None, made(str), None, b" ", known
+        if kind == "ByteLevel":
+            codes = char_bytes()
+            shown = lambda t: t.encode() if any(c not in codes for c in t) else bytes(map(codes.__getitem__, t))
+            return None, made(shown), None, b"", known
+        alone, second = (lambda t: self.decoder([t])[0]), (lambda t: self.decoder(["", t])[1])
+        if kind == "BPEDecoder":  # a token is shown otherwise at the end
+            return None, made(lambda t: self.decoder([t, ""])[0]), made(alone), b"", known
+        return (None, made(str), None, b"", known) if kind == "Fuse" else (made(alone), made(second), None, b"", known)
+
     def inspect(self) -> dict:
-        name = lambda s: s and (f"Sequence[{', '.join(map(name, _parts(s)))}]" if s.get("type") == "Sequence" else s.get("type"))
+        name = lambda s: type(s).__name__ if s is not None and not isinstance(s, dict) else s and (f"Sequence[{', '.join(map(name, _parts(s)))}]" if s.get("type") == "Sequence" else s.get("type"))
         return {
             "schema_version": 1, "model": self.model.kind, "model_vocab_size": len(self.model.vocab), "vocab_size": self.vocab_size(),
             **{k: name(v) for k, v in self.specs.items()}, "added_tokens": self.added.spec(),
-            "truncation": self.spec()["truncation"], "padding": self.spec()["padding"],
+            "truncation": self.truncation and asdict(self.truncation), "padding": self.padding and asdict(self.padding),
         }
 
 
+class _Done(str):
+    """A text that is normalized already."""
+
+
 def _parts(spec: dict) -> list[dict]:
     return next(v for v in spec.values() if isinstance(v, list))
 

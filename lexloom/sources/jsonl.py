@@ -65,15 +65,16 @@ def _line(id_json: Column, body: Column) -> Column:
 
 
 def encode_batch(records: DataFrame, tokenizer: Tokenizer, add_special_tokens: bool = True, ignore_settings: bool = False, char_offsets: bool = False) -> DataFrame:
-    """(record, line) with an encoding for each record, in JSON."""
+    """(record, line) with an encoding for each record, in JSON; one that can't be encoded fails the job with its number."""
     t = tokenizer.bare() if ignore_settings else tokenizer
     kept = ["record", "id"]
     fields = [f.split()[0] for f in frame.ENCODING.split(", ")]
     made = []
     for pair in (None, "pair"):
         part = records.where(F.col("pair").isNull() if pair is None else F.col("pair").isNotNull())
-        made.append(frame.encode(part, t, "text", pair, kept, add_special_tokens, "char" if char_offsets else "byte"))
-    both = made[0].unionByName(made[1])
+        made.append(frame.encode(part, t, "text", pair, kept, add_special_tokens, "char" if char_offsets else "byte", errors=True))
+    fault = F.raise_error(F.concat(F.lit("record "), F.col("record").cast("string"), F.lit(": "), F.col("error")))
+    both = made[0].unionByName(made[1]).withColumn("ids", F.when(F.col("error").isNotNull(), fault.cast("array<bigint>")).otherwise(F.col("ids")))
     offsets = F.transform("offsets", lambda o: F.array(o["start"], o["end"]))
     body = F.struct(F.struct(*(offsets.alias(f) if f == "offsets" else F.col(f) for f in fields)).alias("encoding"))
     return both.select("record", _line(F.col("id"), body).alias("line"))
@@ -85,6 +86,6 @@ def decode_batch(records: DataFrame, tokenizer: Tokenizer, skip_special_tokens:
     return texts.select("record", _line(F.col("id"), F.struct("text")).alias("line"))
 
 
-def write(lines: DataFrame, path: str) -> None:
+def write(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Lines in the order of their records, by ranges; files sort by name."""
-    lines.repartitionByRange("record").sortWithinPartitions("record").select("line").write.text(path)
+    lines.repartitionByRange("record").sortWithinPartitions("record").select("line").write.mode(mode).text(path)

@@ -19,7 +19,6 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,12 +28,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import arrow_map, portions, rows, table
+from lexloom.functions.memo import Memo, joined, lists_of, portions
+from lexloom.llm.common import arrow_map, rows, table
 
 END = "\x00"  # stands for the end-of-word suffix inside the kernel
-#: Words and chunks whose ids are kept, some 50 bytes each; those of more than `LONG` bytes are not.
-MEMO = 500_000
-LONG = 256
 #: Pairs of the compatibility table that are kept.
 COMPATIBLE = 300_000
 _SPACED = "\t a\n  .\v1\f\r \x85b\xa0\u2003.\u3000 '"  # white space around signs of each kind: no word may hold any
@@ -122,38 +119,6 @@ def symbols(text: str) -> list[str]:
     return [*text[:-2], text[-2:]] if text.endswith(END) else list(text)
 
 
-class Memo:
-    """Ids of strings, held in Arrow arrays. Beyond `limit` entries three quarters stay, those asked for most."""
-
-    def __init__(self, make, limit: int = MEMO) -> None:
-        self.make, self.limit = make, limit
-        self.keys, self.lists, self.counts = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32())), np.zeros(0, np.int64)
-
-    def take(self, strings: pa.StringArray) -> pa.ListArray:
-        """The ids of each string; those of strings that are not known are made by one call."""
-        found = pc.index_in(strings, value_set=self.keys)
-        at, known = pc.fill_null(found, -1).to_numpy(zero_copy_only=False), len(self.keys)
-        if found.null_count:
-            new = strings.filter(pc.is_null(found)).dictionary_encode()
-            at = at.copy()
-            at[at < 0] = new.indices.to_numpy() + known
-            self.keys = pa.concat_arrays([self.keys, new.dictionary])
-            self.lists = pa.concat_arrays([self.lists, self.make(new.dictionary)])
-        out = self.lists.take(pa.array(at))
-        counts = np.bincount(at, minlength=len(self.keys))
-        counts[:known] += self.counts // 2
-        short = pc.binary_length(self.keys.slice(known)).to_numpy(zero_copy_only=False) <= LONG
-        if len(self.keys) > self.limit or not short.all():
-            keep = np.concatenate((np.ones(known, bool), short))
-            if len(self.keys) > self.limit:
-                top = np.argpartition(-counts, self.limit * 3 // 4)[: self.limit * 3 // 4]
-                keep &= np.isin(np.arange(len(keep)), top)
-            mask = pa.array(keep)
-            self.keys, self.lists, counts = self.keys.filter(mask), self.lists.filter(mask), counts[keep]
-        self.counts = counts
-        return out
-
-
 class Pieces:
     """Texts cut at white space into chunks, chunks into added tokens and words; `word` gives a word's ids.
 
@@ -203,11 +168,6 @@ class Pieces:
         return found.flatten().to_numpy(), (ends[offsets - offsets[0]] - ends[0]).astype(np.int64)
 
 
-def lists_of(lists: list[tuple[int, ...]]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, lists)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(chain.from_iterable(lists), np.uint32, int(ends[-1]))))
-
-
 class Coder(Pieces):
     """Encoder and decoder over `Tables`, one per Python worker."""
 
@@ -319,11 +279,6 @@ class Coder(Pieces):
         return joined(self.slices, ids, ends)
 
 
-def joined(parts: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The parts that ids name, joined by a space for each range between two ends."""
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts.take(pa.array(ids))), pa.scalar(b" "))
-
-
 def digests(texts: pa.Array) -> list[str]:
     """SHA-256 of each value of a binary array without nulls."""
     offsets, data = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset :][: len(texts) + 1].tolist(), texts.buffers()[2]

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
+from lexloom.functions.memo import portions
+from lexloom.plans.cluster import cut, remove, shared_dir
+
+__all__ = ["cut", "portions", "remove", "shared_dir"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -39,39 +39,6 @@ def words_column(text: Column) -> Column:
     return F.filter(F.split(low, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and every executor can reach.
-
-    It lies below `spark.checkpoint.dir`. Where that is unset, a local session gets a
-    folder of this machine; a cluster has none that all its machines share, so there
-    it is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            base = current.get()
-        elif not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        else:
-            base = tempfile.mkdtemp(prefix="lexloom-")
-    return f"{base.rstrip('/')}/lexloom-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut by a reliable checkpoint."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(os.path.dirname(shared_dir(df.sparkSession)))
-    return df.checkpoint()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of a shared store, whatever its file system."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """`names`, changed where `df` has columns of these names."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -99,22 +66,6 @@ def schema_of(more: str, **first: DataType) -> StructType:
     return StructType([*(StructField(n, t) for n, t in first.items()), *_parse_datatype_string(more).fields])
 
 
-#: Bytes of text that are worked on at once.
-PORTION = 16 << 20
-
-
-def portions(batch: pa.RecordBatch, column: str, most: int = PORTION) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch, about equal, with at most `most` bytes in a binary column each, or one row."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy().astype(np.int64)
-    ends, first = np.cumsum(sizes), 0
-    total = int(ends[-1]) if len(ends) else 0
-    share = -(-total // max(1, -(-total // most)))
-    while first < batch.num_rows:
-        stop = max(first + 1, int(np.searchsorted(ends, share + (ends[first - 1] if first else 0), "right")))
-        yield batch.slice(first, stop - first)
-        first = stop
-
-
 def arrow_map(
     df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list | np.ndarray | pa.Array]], schema: str | StructType, text: str | None = None
 ) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import WORD_TABLE, arrow_map, cut, named, rows, schema_of, table, words_of
+from lexloom.llm.common import LOWER, UPPER, WORD_TABLE, arrow_map, cut, named, rows, schema_of, table, words_of
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -231,6 +231,21 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def oracle_sql() -> str:
+    """DuckDB SQL for `op9_decontaminate`: a join of every window of every item with every place of every document."""
+    words = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+    return f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, ws, least({WINDOW}, len(ws)) AS n FROM (SELECT item_id, {words} AS ws FROM benchmark) WHERE len(ws) > 0),
+win AS MATERIALIZED (SELECT DISTINCT item, n, array_to_string(ws[i + 1:i + n], ' ') AS key FROM (SELECT *, unnest(range(0, len(ws) - n + 1)) AS i FROM b)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS ws FROM documents),
+p AS (SELECT r, i, n, array_to_string(ws[i + 1:i + n], ' ') AS key FROM (SELECT r, ws, n, unnest(range(0, greatest(len(ws) - n + 1, 0))) AS i FROM d, (SELECT DISTINCT n FROM win))),
+h AS MATERIALIZED (SELECT r, i, n, item FROM p JOIN win USING (n, key)),
+c AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM h) GROUP BY r),
+o AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM h WHERE item IS NOT NULL GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN o USING (r)"""
+
+
 def brute(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple]:
     """The rows of `op9_decontaminate`, from every window of every item at every place; for tests."""
     out = []

@@ -292,3 +292,15 @@ def near_duplicates(
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of `embeddings`; nulls, repeats and empty tables as in `near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for `op8_embedding_dedup`: every pair of a label, and what links reach."""
+    return f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS MATERIALIZED (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+k AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+c(r, x) AS (SELECT r, r FROM v UNION SELECT c.r, k.b FROM c JOIN k ON k.a = c.x),
+m AS (SELECT c.r, min(v.vec_id) AS low FROM c JOIN v ON v.r = c.x GROUP BY c.r),
+n AS (SELECT a AS r, count(*) AS n FROM k GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, low AS component_id, vec_id = low AS kept FROM v JOIN m USING (r) LEFT JOIN n USING (r)"""

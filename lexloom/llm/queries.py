@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import licenses, urls, warc
+from lexloom.llm import chat, decontaminate, embeddings, licenses, urls, warc
 from lexloom.llm.bpe import op7_bpe
 from lexloom.llm.chat import op4_chat_format
 from lexloom.llm.decontaminate import op9_decontaminate
@@ -35,5 +35,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": licenses.oracle_sql(),
         "op3_warc": warc.oracle_sql(),
+        "op4_chat_format": chat.oracle_sql(),
         "op5_url_filter": urls.oracle_sql(),
+        "op8_embedding_dedup": embeddings.oracle_sql(),
+        "op9_decontaminate": decontaminate.oracle_sql(),
     }

@@ -201,7 +201,7 @@ def learn(
                     sums[1].update(f for f, k in found.items() if k > 1)
                 else:
                     sums[2].update(found.keys())
-            if sum(map(len, sums)) > 500_000:
+            if sum(map(len, sums)) > 150_000:
                 yield flush()
         yield flush()
 

@@ -348,9 +348,9 @@ class Tokenizer:
 
     def _whole_words(self):
         """Without a splitter a model gets a whole text. Where no token goes on across the start of a run of `▁`, merging
-        cannot either, so a text may be cut there."""
+        cannot either, so a text may be cut there; not so where unknown characters drop out and bring others together."""
         model, mark = self.model, "▁"
-        if model.kind != "BPE" or model.prefix or model.suffix or model.ignore_merges or mark not in model.vocab:
+        if model.kind != "BPE" or not model.unk_token or model.prefix or model.suffix or model.ignore_merges or mark not in model.vocab:
             return None
         return None if any(inside.search(t) for inside in [compiled(f"[^{mark}]{mark}")] for t in model.vocab) else compiled(f"{mark}+[^{mark}]*|[^{mark}]+").findall
 

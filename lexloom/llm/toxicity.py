@@ -48,6 +48,8 @@ _LETTERS = {ord(k): v for k, v in _HOMOGLYPHS.items()} | dict.fromkeys([0x200B,
 
 #: Where a chunk is cut: signs that stand for no letter.
 _CUT = regex.compile(r"[^\p{L}\p{M}\p{N}@$!|]+")
+#: Signs that only part words; around a word they need no cutting.
+_EDGE = ".,;:?!\"'()[]{}<>*#%&-_/\\~`^+="
 #: Pieces of so few letters are put together with their neighbours of the same kind.
 SPELT = 2
 FOLDS = 100_000
@@ -66,8 +68,9 @@ def fold_piece(piece: str) -> str:
 
 def fold_chunk(chunk: str) -> str:
     """The folded words of a lower-case chunk without white space, joined by a space."""
-    if chunk.isascii() and chunk.isalpha():
-        return chunk
+    bare = chunk.strip(_EDGE)
+    if bare.isascii() and bare.isalpha():
+        return bare
     words: list[str] = []
     spelt = False  # whether the last word may go on
     for piece in _CUT.split(chunk if chunk.isascii() else chunk.translate(_LETTERS)):
@@ -211,7 +214,8 @@ def learn(
     if not n_tox:
         return Lexicon(seeds)
     counted = rows_.mapInArrow(count, "f string, t bigint, t2 bigint, c bigint").groupBy("f").agg(*(F.sum(x).alias(x) for x in ("t", "t2", "c")))
-    odds = F.log((F.col("t") + 0.1) / (n_tox + 0.2)) - F.log((F.col("c") + 0.1) / (n_clean + 0.2))
+    # an entry that few documents speak for weighs little: near copies of one toxic document share its rare words
+    odds = F.log((F.col("t") + 0.5) / (n_tox + 1)) - F.log((F.col("c") + 1.0) / (n_clean + 2))
     # chance alone gives rare entries to few toxic documents, but hardly ever twice to each of them
     enough = (F.col("t") >= support) | (F.col("t2") >= (support + 1) // 2)
     pure = counted.where(enough & (F.col("c") * 20 <= F.col("t"))).withColumn("w", odds)

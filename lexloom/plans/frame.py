@@ -54,6 +54,18 @@ def _batches(df: DataFrame, names: dict[str, str], fn: Callable[[dict[str, list]
     return out.select("__row.*", *(c for c in out.columns if c != "__row")) if keep else out
 
 
+#: Bytes of input, as the optimizer estimates them, below which `spread` deals rows anew.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt over all cores, if it is small: a file with one row group is read by one task, whatever the cores.
+
+    A large table has row groups enough and stays as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
+
+
 def _row(e: Encoding) -> dict:
     return {
         "ids": e.ids,

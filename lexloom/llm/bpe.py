@@ -14,9 +14,11 @@ normalization and splitting don't look across white space."""
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
+import weakref
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +36,8 @@ from lexloom.llm.common import arrow_map, rows, table
 END = "\x00"  # stands for the end-of-word suffix inside the kernel
 #: Pairs of the compatibility table that are kept.
 COMPATIBLE = 300_000
+#: Bytes of text that a worker encodes at once.
+PORTION = 4 << 20
 _SPACED = "\t a\n  .\v1\f\r \x85b\xa0\u2003.\u3000 '"  # white space around signs of each kind: no word may hold any
 _BREAK = 0xFFFFFFFF  # stands for the end of a chunk among ids
 
@@ -173,7 +177,7 @@ class Coder(Pieces):
 
     def __init__(self, tables: Tables) -> None:
         super().__init__(tables, self._word)
-        self.t = tables
+        self.pair, self.split, self.ids = tables.pair, tables.split, tables.ids
         self.matcher = ahocorasick.Automaton()
         for k, text in enumerate(tables.texts):
             if tables.reachable[k]:
@@ -199,7 +203,7 @@ class Coder(Pieces):
         got = self.compatible.get(key)
         if got is not None:
             return got
-        x, y, limit, pair, split = a, b, 1 << 40, self.t.pair, self.t.split
+        x, y, limit, pair, split = a, b, 1 << 40, self.pair, self.split
         while True:
             whole = pair.get((x, y))
             if whole is not None and whole < limit:
@@ -264,7 +268,7 @@ class Coder(Pieces):
     def _word(self, word: str) -> tuple[int, ...]:
         text = word if word.isascii() and word.isprintable() and " " not in word else "".join(self.chars[b] for b in word.encode())
         text += self.end
-        return tuple(self.t.ids[k] for k in self.tokens_of(text))
+        return tuple(self.ids[k] for k in self.tokens_of(text))
 
     def decode_all(self, ids: np.ndarray, ends: np.ndarray, skip: frozenset[int] = frozenset()) -> pa.Array:
         """Binary array of texts: tokens joined by a space, in UTF-8; unknown ids and those of `skip` drop out."""
@@ -296,13 +300,23 @@ _coders: dict[str, Coder] = {}
 
 
 def coder(path: str, tables: Tables) -> Coder:
-    """This worker's coder, kept from task to task."""
+    """This worker's coder, kept from task to task until Spark takes back the broadcast that `tables` came with.
+
+    Workers outlive a job; what later ones run in them needs the memory. A coder holds
+    no reference to `tables` itself, so these go as soon as the broadcast does."""
     if path not in _coders:
         _coders.clear()
         _coders[path] = Coder(tables)
+        weakref.finalize(tables, _forget).atexit = False
     return _coders[path]
 
 
+def _forget() -> None:
+    _coders.clear()
+    gc.collect()  # memos refer to their coder
+    pa.default_memory_pool().release_unused()
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -326,7 +340,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, shared.value)
-        for part in (p for batch in batches for p in portions(batch, "data")):
+        for part in (p for batch in batches for p in portions(batch, "data", PORTION)):
             found, ends = c.encode_all(part.column(1))
             out = [part.column(0), pa.array(np.diff(ends))]
             if ids:
@@ -334,6 +348,7 @@ def encode(
             if digest:
                 out += [pa.array(digests(joined(c.decimals, found, ends)), pa.string()), pa.array(digests(c.decode_all(found, ends)), pa.string())]
             yield pa.RecordBatch.from_arrays(out, [f.split()[0] for f in fields])
+            pa.default_memory_pool().release_unused()  # else Arrow keeps the most that any step took
 
     return thin.mapInArrow(run, ", ".join(fields)).withColumnRenamed("id", id_col)
 

@@ -267,16 +267,15 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold:
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of `docs` whose score lies below `threshold`, with all their columns, whatever these are called; one narrow pass.
 
-    Null, empty and wordless texts score as texts without hits; repeated rows are judged each."""
-    row = F.struct(*named(*docs.columns)).alias("row")
+    Null, empty and wordless texts score as texts without hits; repeated rows are judged each.
+    Python gets the texts, once, and gives back scores; the rows stay with Spark, which may spill them."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
-    def run(batch: pa.RecordBatch) -> dict:
-        return {"row": batch.column(0), "score": [shared.value.score(t) for t in rows(batch, "body")]}
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score(t.as_py()) for t in texts], pa.float64())
 
-    body = docs.select(row, F.col(text_col).alias("body"))
-    found = arrow_map(body, run, schema_of("score double", row=body.schema["row"].dataType))
-    return found.where(F.col("score") < threshold).select("row.*")
+    return docs.where(scores(*named(text_col)) < threshold)
 
 
 def train(spark: SparkSession, sf_dir: str, **options) -> Lexicon:

@@ -94,3 +94,40 @@ def test_without_labels_and_benchmark_clean_documents_stay(spark, tmp_path):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_dedup", "decontaminate", "bpe"]
+
+
+def test_toxicity_sends_each_text_to_python_once_and_rows_not_at_all(spark):
+    rows = [(i, f"clean text {i} " * 200 + "idiot " * 400 * (i % 4 == 0), "en", "s" * 3000, i) for i in range(400)] + [(7, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    kept = toxicity.drop_toxic(docs, toxicity.Lexicon({" idiot ": 3.0}))
+    frame = kept._jdf.queryExecution()
+    frame.toRdd().count()
+    nodes, sent = [frame.executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        nodes += [node.executedPlan()] if "AdaptiveSparkPlan" in node.nodeName() else []
+        nodes += [node.plan()] if "QueryStage" in node.nodeName() else []
+        if node.metrics().contains("pythonDataSent"):
+            sent.append(node.metrics().apply("pythonDataSent").value())
+    texts = sum(len(r[1] or "") for r in rows)
+    assert len(sent) == 1 and texts < sent[0] < 1.2 * texts
+    assert kept.schema == docs.schema
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id % 4 or r.text is None)
+
+
+def test_workers_give_the_encoder_back_after_the_job(spark):
+    from lexloom.llm import bpe
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(bpe._coders)])], ["n"])
+
+    docs = spark.createDataFrame([(i, f"words of {i}") for i in range(64)], "doc_id bigint, text string").repartition(8)
+    assert bpe.encode(docs).where("n_tokens > 0").count() == 64
+    other = spark.sparkContext.broadcast("what another job needs")
+    counts = spark.range(64).repartition(8).mapInArrow(lambda batches: held(batches) if other.value else None, "n bigint").collect()
+    assert len(counts) == 8 and {r.n for r in counts} == {0}

@@ -59,9 +59,18 @@ def joined(parts: pa.Array, ids: np.ndarray, ends: np.ndarray, between: bytes =
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts.take(pa.array(ids))), pa.scalar(between))
 
 
-def portions(batch: pa.RecordBatch, column: str, most: int = PORTION) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch, about equal, with at most `most` bytes in a string or binary column each, or one row."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy().astype(np.int64)
+def _sizes(column: pa.Array) -> np.ndarray:
+    """Bytes of each value of a string, binary or list column; of numbers in a list eight each."""
+    if pa.types.is_list(column.type):
+        flat, ends = column.flatten(), np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
+        each = _sizes(flat) + 8 if pa.types.is_string(flat.type) or pa.types.is_binary(flat.type) else np.full(len(flat), 8)
+        return np.diff(np.concatenate(([0], np.cumsum(each)))[ends])
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def portions(batch: pa.RecordBatch, column: str | list[str], most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, about equal, with at most `most` bytes in the columns named each, or one row."""
+    sizes = sum(_sizes(batch.column(batch.schema.get_field_index(c))) for c in ([column] if isinstance(column, str) else column))
     ends, first = np.cumsum(sizes), 0
     total = int(ends[-1]) if len(ends) else 0
     share = -(-total // max(1, -(-total // most)))

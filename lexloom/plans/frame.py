@@ -21,39 +21,57 @@ from lexloom.functions import columns, plain
 from lexloom.functions.align import Aligned
 from lexloom.functions.memo import portions
 from lexloom.operators.encoding import Encoding
+from lexloom.plans.flat import Unfit
 from lexloom.plans.tokenizer import Tokenizer, row_error
 
 ENCODING = (
     "ids array<bigint>, tokens array<string>, offsets array<struct<start:int,end:int>>, type_ids array<int>, word_ids array<int>, "
     "special_tokens_mask array<int>, attention_mask array<int>, sequence_ids array<int>"
 )
-_KEY = "__key"
 
 
-def _batches(df: DataFrame, names: dict[str, str], fn: Callable[[dict[str, list]], list[dict]], fields: str, keep: list[str]) -> DataFrame:
-    """Rows from `fn` over each Arrow batch of the named columns; `keep` columns ride along with the row that they belong to."""
-    schema = f"{_KEY} int, {fields}" if keep else fields
+#: Bytes of text that encoding works on at once, and tokens that its kernel holds as Python objects before it hands them on.
+PORTION = 1 << 18
+TOKENS = 1 << 14
+
+
+def _batches(df: DataFrame, names: dict[str, str], fn: Callable[[dict[str, list], int], Iterator[tuple[list[int], list[pa.Array]]]], fields: str, keep: list[str]) -> DataFrame:
+    """Rows from `fn` over portions of the named columns, as Arrow columns beside the number of the row that each belongs to; `keep` columns ride along.
+
+    `fn` gets the columns of a portion and where it starts in its batch."""
     packed = df.select(*([F.struct(*keep).alias("__row")] if keep else []), *(F.col(c).alias(n) for n, c in names.items()))
     row_type = packed.schema["__row"].dataType.simpleString() if keep else ""
-    target = to_arrow_schema(_parse_datatype_string(schema))
     full = f"__row {row_type}, {fields}" if keep else fields
     out_schema = to_arrow_schema(_parse_datatype_string(full))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = fn({n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names})
-            got = pa.RecordBatch.from_pylist(found, schema=target)
-            if keep:
-                rows = batch.column(0).take(got.column(0)).cast(out_schema.field(0).type)
-                got = pa.RecordBatch.from_arrays([rows, *got.columns[1:]], schema=out_schema)
-            yield got
+            start = 0
+            for part in portions(batch, list(names), PORTION):
+                for rows, columns in fn({n: part.column(part.schema.get_field_index(n)).to_pylist() for n in names}, start):
+                    if keep:
+                        columns = [part.column(0).take(pa.array(rows, pa.int32())).cast(out_schema.field(0).type), *columns]
+                    yield pa.RecordBatch.from_arrays(columns, names=out_schema.names)
+                start += part.num_rows
 
     out = packed.mapInArrow(run, full)
     return out.select("__row.*", *(c for c in out.columns if c != "__row")) if keep else out
 
 
+def _gathered(found: Iterator[tuple[int, int, dict]], schema: pa.Schema) -> Iterator[tuple[list[int], list[pa.Array]]]:
+    """(row, size, fields) as Arrow columns, handed on whenever `TOKENS` have come together."""
+    rows, fields, size = [], [], 0
+    for k, n, row in found:
+        rows.append(k)
+        fields.append(row)
+        size += n
+        if size >= TOKENS:
+            yield rows, pa.RecordBatch.from_pylist(fields, schema=schema).columns
+            rows, fields, size = [], [], 0
+    if rows:
+        yield rows, pa.RecordBatch.from_pylist(fields, schema=schema).columns
+
+
 #: Bytes of input, as the optimizer estimates them, below which `spread` deals rows anew.
 SMALL = 256 << 20
 
@@ -66,17 +84,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
 
 
-def _row(e: Encoding) -> dict:
-    return {
-        "ids": e.ids,
-        "tokens": e.tokens,
-        "offsets": [{"start": a, "end": b} for a, b in e.offsets],
-        "type_ids": e.type_ids,
-        "word_ids": e.word_ids,
-        "special_tokens_mask": e.special_tokens_mask,
-        "attention_mask": e.attention_mask,
-        "sequence_ids": e.sequence_ids(),
-    }
+def _row(e: Encoding, fields: list[str]) -> dict:
+    own = {"offsets": lambda: [{"start": a, "end": b} for a, b in e.offsets], "sequence_ids": e.sequence_ids}
+    return {c: own[c]() if c in own else getattr(e, c) for c in fields}
 
 
 def _flat(e: Encoding, path: list[int]) -> Iterator[tuple[list[int], Encoding]]:
@@ -87,38 +97,53 @@ def _flat(e: Encoding, path: list[int]) -> Iterator[tuple[list[int], Encoding]]:
 
 def encode(
     df: DataFrame, tokenizer: Tokenizer, text: str = "text", pair: str | None = None, keep: list[str] | None = None,
-    add_special_tokens: bool = True, offsets: str = "byte", overflow: bool = False, errors: bool = False,
+    add_special_tokens: bool = True, offsets: str = "byte", overflow: bool = False, errors: bool = False, fields: list[str] | None = None,
 ) -> DataFrame:
     """`keep` columns and an encoding per row; with `overflow` a row per window, told by `path` ([] is the main one).
 
     text and pair are strings, or arrays of words; null texts count as empty. A row that
     cannot be encoded fails the job, or with `errors` comes with its fault in the column
-    `error` and null in the others. Batch-longest padding needs a batch, so it is not
-    applied here: see `pad`."""
+    `error` and null in the others. Of an encoding's columns only `fields` are made, if they
+    are given. Batch-longest padding needs a batch, so it is not applied here: see `pad`."""
     bare = tokenizer.with_padding(None) if tokenizer.padding and not isinstance(tokenizer.padding.strategy, dict) else tokenizer
     shared = df.sparkSession.sparkContext.broadcast(bare)
     keep = [c for c in df.columns if c not in (text, pair)] if keep is None else keep
-    clash = set(keep) & {"path", "error", *(f.split()[0] for f in ENCODING.split(", "))}
+    kinds = dict(f.split(" ", 1) for f in ENCODING.split(", "))
+    own = list(kinds) if fields is None else [c for c in kinds if c in fields]
+    clash = set(keep) & {"path", "error", *own}
     if clash:
         raise ConfigError(f"columns {sorted(clash)} would clash with those of an encoding; rename or leave them out of keep")
-
-    def run(got: dict[str, list]) -> list[dict]:
-        t, out = shared.value, []
-        seconds = got.get("pair") or [None] * len(got["text"])
-        for k, (a, b) in enumerate(zip(got["text"], seconds)):
+    if fields is not None and set(fields) - kinds.keys():
+        raise ConfigError(f"an encoding has no {sorted(set(fields) - kinds.keys())}")
+    wanted = [*(["path"] if overflow else []), *own, *(["error"] if errors else [])]
+    full = ", ".join(f"{c} {({'path': 'array<int>', 'error': 'string'} | kinds)[c]}" for c in wanted)
+    schema = to_arrow_schema(_parse_datatype_string(full))
+
+    def by_kernel(texts: list, seconds: list | None, start: int) -> Iterator[tuple[int, int, dict]]:
+        for k, a in enumerate(texts):
             try:
-                e = t.encode(a if a is not None else "", (b if b is not None else "") if pair else None, add_special_tokens, offsets)
+                e = shared.value.encode(a, seconds[k] if seconds else None, add_special_tokens, offsets)
             except LexloomError as error:
                 if not errors:
-                    raise row_error(f"{k} of its batch ({str(a)[:40]!r})", error) from error
-                out.append({_KEY: k, "path": [], "error": str(error)})
+                    raise row_error(f"{start + k} of its batch ({str(a)[:40]!r})", error) from error
+                yield k, 1, {"path": [], "error": str(error)}
                 continue
             for path, part in _flat(e, []) if overflow else [([], e)]:
-                out.append({_KEY: k, "path": path} | _row(part))
-        return out
+                yield k, len(part), {"path": path} | _row(part, own)
+
+    def run(got: dict[str, list], start: int) -> Iterator[tuple[list[int], list[pa.Array]]]:
+        texts = ["" if x is None else x for x in got["text"]]
+        seconds = ["" if x is None else x for x in got["pair"]] if pair else None
+        arrays = shared.value.arrays()
+        if arrays is not None:
+            try:
+                rows, found = arrays.columns(texts, seconds, add_special_tokens, offsets, overflow, wanted)
+                return iter([(rows, [found[c] for c in wanted])])
+            except (Unfit, LexloomError):  # the kernel does these texts, or tells which of them is at fault
+                pass
+        return _gathered(by_kernel(texts, seconds, start), schema)
 
-    found = _batches(df, {"text": text} | ({"pair": pair} if pair else {}), run, f"path array<int>, {ENCODING}, error string", keep)
-    return found.drop(*(["path"] * (not overflow) + ["error"] * (not errors)))
+    return _batches(df, {"text": text} | ({"pair": pair} if pair else {}), run, full, keep)
 
 
 def ids_column(df: DataFrame, tokenizer: Tokenizer, text: str = "text", add_special_tokens: bool = True, keep: list[str] | None = None) -> DataFrame:
@@ -245,19 +270,21 @@ def splits(df: DataFrame, tokenizer: Tokenizer, text: str = "text", keep: list[s
     shared = df.sparkSession.sparkContext.broadcast(tokenizer)
     keep = [c for c in df.columns if c != text] if keep is None else keep
 
-    def run(got: dict[str, list]) -> list[dict]:
-        t, out = shared.value, []
-        for k, x in enumerate(got["text"]):
+    fields = "pos int, piece string, start int, stop int"
+    schema = to_arrow_schema(_parse_datatype_string(fields))
+
+    def found(texts: list[str | None]) -> Iterator[tuple[int, int, dict]]:
+        t = shared.value
+        for k, x in enumerate(texts):
             whole = Aligned(x or "")
             if t.normalizer:
                 t.normalizer(whole)
             parts = [p for p in (t.pre_tokenizer(whole) if t.pre_tokenizer else [whole]) if p.text]
             for pos, p in enumerate(parts):
                 a, b = p.original_span(0, len(p))
-                out.append({_KEY: k, "pos": pos, "piece": p.text, "start": a, "stop": b})
-        return out
+                yield k, 1, {"pos": pos, "piece": p.text, "start": a, "stop": b}
 
-    return _batches(df, {"text": text}, run, "pos int, piece string, start int, stop int", keep)
+    return _batches(df, {"text": text}, lambda got, start: _gathered(found(got["text"]), schema), fields, keep)
 
 
 def words(df: DataFrame, tokenizer: Tokenizer, text: str = "text", keep: list[str] | None = None) -> DataFrame:

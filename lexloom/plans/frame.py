@@ -33,6 +33,8 @@ ENCODING = (
 #: Bytes of text that encoding works on at once, and tokens that its kernel holds as Python objects before it hands them on.
 PORTION = 1 << 18
 TOKENS = 1 << 14
+#: Bytes of text, or of ids at eight bytes each, that the passes of strings and ids work on at once.
+STRINGS, IDS = 1 << 20, 4 << 20
 
 
 def _batches(df: DataFrame, names: dict[str, str], fn: Callable[[dict[str, list], int], Iterator[tuple[list[int], list[pa.Array]]]], fields: str, keep: list[str]) -> DataFrame:
@@ -154,7 +156,7 @@ def ids_column(df: DataFrame, tokenizer: Tokenizer, text: str = "text", add_spec
     packed = df.select(F.struct(*(keep or [F.lit(0)])).alias("row"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for batch in batches for p in portions(batch, "text")):
+        for part in (p for batch in batches for p in portions(batch, "text", IDS)):
             texts = part.column(1).fill_null("").to_numpy(zero_copy_only=False)
             ids, ends = shared.value.ids_batch(texts, add_special_tokens)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], ["row", "ids"])
@@ -170,8 +172,8 @@ def decode(df: DataFrame, tokenizer: Tokenizer, ids: str = "ids", keep: list[str
     packed = df.select(F.struct(*(keep or [F.lit(0)])).alias("row"), F.col(ids).cast("array<bigint>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t, lists = shared.value, batch.column(1)
+        for part in (p for batch in batches for p in portions(batch, "ids", IDS)):
+            t, lists = shared.value, part.column(1)
             flat, whole = lists.flatten(), lists.null_count == 0
             text = None
             if not strict and whole and flat.null_count == 0:
@@ -179,7 +181,7 @@ def decode(df: DataFrame, tokenizer: Tokenizer, ids: str = "ids", keep: list[str
                 text = t.decode_lists(flat.to_numpy(), ends - ends[0], skip_special_tokens)
             if text is None:
                 text = pa.array([t.decode([i for i in x or [] if i is not None], skip_special_tokens, strict) for x in lists.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), text], ["row", out])
+            yield pa.RecordBatch.from_arrays([part.column(0), text], ["row", out])
 
     found = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, {out} string")
     return found.select("row.*", out) if keep else found.select(out)
@@ -255,11 +257,11 @@ def normalized(df: DataFrame, tokenizer: Tokenizer, text: str = "text", keep: li
     packed = df.select(F.struct(*(keep or [F.lit(0)])).alias("row"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = shared.value
-            step = plain.normalizer(t.specs["normalizer"]) or t.normalize
-            texts = [None if x is None else step(x) for x in batch.column(1).to_numpy(zero_copy_only=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", out])
+        t = shared.value
+        step = plain.normalizer(t.specs["normalizer"]) or t.normalize
+        for part in (p for batch in batches for p in portions(batch, "text", STRINGS)):
+            texts = [None if x is None else step(x) for x in part.column(1).to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["row", out])
 
     found = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, {out} string")
     return found.select("row.*", out) if keep else found.select(out)
@@ -306,7 +308,7 @@ def words(df: DataFrame, tokenizer: Tokenizer, text: str = "text", keep: list[st
         t = shared.value
         normal, split = plain.normalizer(t.specs["normalizer"]), plain.splitter(t.specs["pre_tokenizer"])
         words_of = (lambda x: split(normal(x))) if normal and split else aligned(t)
-        for part in (p for batch in batches for p in portions(batch, "text")):
+        for part in (p for batch in batches for p in portions(batch, "text", STRINGS)):
             found, sizes = [], []
             for x in part.column(1).fill_null("").to_numpy(zero_copy_only=False):
                 own = [w for w in words_of(x) if w]

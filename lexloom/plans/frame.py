@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -165,6 +166,24 @@ def ids_column(df: DataFrame, tokenizer: Tokenizer, text: str = "text", add_spec
     return out.select("row.*", "ids") if keep else out.select("ids")
 
 
+def numbered(df: DataFrame, names: list[str], tokens: str = "tokens", keep: list[str] | None = None) -> DataFrame:
+    """`keep` columns and ids: the place in `names` of each of the tokens, null for one that isn't there; a null array stays null."""
+    shared = df.sparkSession.sparkContext.broadcast(pa.array(names, pa.string()))
+    keep = [c for c in df.columns if c != tokens] if keep is None else keep
+    packed = df.select(F.struct(*(keep or [F.lit(0)])).alias("row"), F.col(tokens).alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in portions(batch, "tokens", IDS)):
+            lists = part.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ids = pc.index_in(lists.flatten(), value_set=shared.value).cast(pa.int64())
+            ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, ids, mask=lists.is_null())], ["row", "ids"])
+
+    out = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, ids array<bigint>")
+    return out.select("row.*", "ids") if keep else out.select("ids")
+
+
 def decode(df: DataFrame, tokenizer: Tokenizer, ids: str = "ids", keep: list[str] | None = None, skip_special_tokens: bool = True, strict: bool = False, out: str = "text") -> DataFrame:
     """`keep` columns and the text of each array of ids; a null array gives an empty text; unknown ids drop out, or fail the job if `strict`."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer)
@@ -178,7 +197,9 @@ def decode(df: DataFrame, tokenizer: Tokenizer, ids: str = "ids", keep: list[str
             text = None
             if not strict and whole and flat.null_count == 0:
                 ends = lists.offsets.to_numpy().astype(np.int64)
-                text = t.decode_lists(flat.to_numpy(), ends - ends[0], skip_special_tokens)
+                found = flat.to_numpy(), ends - ends[0], skip_special_tokens
+                text = t.decode_lists(*found)
+                text = t.decode_fused(*found) if text is None else text
             if text is None:
                 text = pa.array([t.decode([i for i in x or [] if i is not None], skip_special_tokens, strict) for x in lists.to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([part.column(0), text], ["row", out])

@@ -87,9 +87,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
 
 
-def _row(e: Encoding, fields: list[str]) -> dict:
+def _row(e: Encoding, fields: list[str] | None = None) -> dict:
     own = {"offsets": lambda: [{"start": a, "end": b} for a, b in e.offsets], "sequence_ids": e.sequence_ids}
-    return {c: own[c]() if c in own else getattr(e, c) for c in fields}
+    return {c: own[c]() if c in own else getattr(e, c) for c in ([f.split()[0] for f in ENCODING.split(", ")] if fields is None else fields)}
 
 
 def _flat(e: Encoding, path: list[int]) -> Iterator[tuple[list[int], Encoding]]:

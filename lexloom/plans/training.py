@@ -8,11 +8,11 @@ on the cluster, a job a merge, with the same result."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,34 +182,62 @@ def merged(words: DataFrame, trainer: trainers.BpeTrainer) -> tuple[dict[str, in
     return ids, merges
 
 
-def _apply(word: list[int], pending: list[tuple[int, int, int]]) -> list[int]:
-    """A word's ids after merges, one after the other, each from the left."""
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of a batch of words one after the other, the word of each, and the words' counts."""
+    lists = batch.column(0)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy().copy(), np.repeat(np.arange(len(sizes)), sizes), batch.column(1).to_numpy()
+
+
+def _apply(ids: np.ndarray, word: np.ndarray, pending: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of many words after merges, one after the other, each from the left."""
     for a, b, new in pending:
-        if a in word and b in word:
-            out: list[int] = []
-            for x in word:
-                if out and x == b and out[-1] == a:
-                    out[-1] = new
-                else:
-                    out.append(x)
-            word = out
-    return word
+        at = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b) & (word[:-1] == word[1:]))
+        if not len(at):
+            continue
+        if a == b:  # of a run every second place
+            opens = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+            at = at[(np.arange(len(at)) - np.repeat(opens, np.diff(np.append(opens, len(at))))) % 2 == 0]
+        ids[at] = new
+        kept = np.ones(len(ids), bool)
+        kept[at + 1] = False
+        ids, word = ids[kept], word[kept]
+    return ids, word
+
+
+#: Pairs of symbols that are counted in one array of a worker; of more symbols each batch counts those that it has.
+DENSE = 1 << 22
 
 
 def _pairs(pending: list[tuple[int, int, int]], lengths: list[int], most: int | None):
     """Partial counts of neighbours after `pending`; none of a pair that would reach `most` characters, but for single ones."""
-    pending, lengths = list(pending), list(lengths)
+    pending, lengths = list(pending), np.array(lengths, np.int64)
+    size = len(lengths)
+
+    def rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        a, b = key // size, key % size
+        if most is not None:
+            fits = (lengths[a] + lengths[b] < most) | (lengths[a] == 1) & (lengths[b] == 1)
+            a, b, n = a[fits], b[fits], n[fits]
+        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(n)], ["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: Counter = Counter()
+        dense = np.zeros(size * size, np.int64) if size * size <= DENSE else None
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                word = _apply(word, pending)
-                for p in zip(word, word[1:]):
-                    out[p] += n
-        kept = [(a, b, n) for (a, b), n in out.items() if most is None or lengths[a] + lengths[b] < most or lengths[a] == lengths[b] == 1]
-        columns = zip(*kept) if kept else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64()))], ["a", "b", "n"])
+            ids, word, weights = _flat(batch)
+            ids, word = _apply(ids, word, pending)
+            same = np.flatnonzero(word[:-1] == word[1:])
+            key, n = ids[same].astype(np.int64) * size + ids[same + 1], weights[word[same]]
+            if dense is not None:
+                np.add.at(dense, key, n)
+                continue
+            key, which = np.unique(key, return_inverse=True)
+            sums = np.zeros(len(key), np.int64)
+            np.add.at(sums, which, n)
+            yield rows(key, sums)
+        if dense is not None:
+            key = np.flatnonzero(dense)
+            yield rows(key, dense[key])
 
     return run
 
@@ -219,7 +247,9 @@ def _merged(pending: list[tuple[int, int, int]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [_apply(w, pending) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.int32())), batch.column(1)], ["ids", "n"])
+            ids, word, _ = _flat(batch)
+            ids, word = _apply(ids, word, pending)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(word, minlength=batch.num_rows))))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))), batch.column(1)], ["ids", "n"])
 
     return run
